@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from .chat import op4_chat_format
+from .langid import op8_language_id
+from .ngram_join import op3_ngram_join
 from .packing import op5_packing
 from .quality import op10_quality_rules
+from .secrets import op7_secret_scan
+from .topk import OP1_SQL, op1_exact_topk
 
-QUERIES = {f.__name__: f for f in (op5_packing, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_exact_topk, op3_ngram_join, op4_chat_format, op5_packing, op7_secret_scan, op8_language_id, op10_quality_rules,
+)}
+ORACLES: dict[str, str] = {"op1_exact_topk": OP1_SQL}
 
 
 def queries():
