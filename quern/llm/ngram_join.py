@@ -166,7 +166,7 @@ def shingle_sets(stages: Stages, docs: DataFrame) -> tuple[DataFrame, DataFrame]
     sets; hashes in two sets or more go on to groups by set. Neither a text nor an unshared hash travels further.
     """
     spark = docs.sparkSession
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(least, size // GROUP_BYTES)
     set_groups = max(least, groups // 4)
