@@ -368,10 +368,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return linked.unionByName(alone)
 
 
+#: Row ids that may be broadcast to take rows out (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component its smallest doc_id stays."""
-    same = jaccard_components(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(same, docs["doc_id"].eqNullSafe(same["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` without near copies: one row of each component stays, the first as the table is read."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    stages = Stages(docs.sparkSession, "ngram_keep")
+    same = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"))
+    gone = stages.table(same.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")))
+    few = gone.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(gone) if few else gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .chat import op4_chat_format
+from .html import op2_html_extraction
 from .langid import op8_language_id
+from .line_dedup import op6_line_dedup
+from .mixing import op9_source_mixing
 from .ngram_join import op3_ngram_join
 from .packing import op5_packing
 from .quality import op10_quality_rules
 from .secrets import op7_secret_scan
 from .topk import OP1_SQL, op1_exact_topk
 
-QUERIES = {f.__name__: f for f in (
-    op1_exact_topk, op3_ngram_join, op4_chat_format, op5_packing, op7_secret_scan, op8_language_id, op10_quality_rules,
-)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_exact_topk, op2_html_extraction, op3_ngram_join, op4_chat_format, op5_packing, op6_line_dedup, op7_secret_scan,
+        op8_language_id, op9_source_mixing, op10_quality_rules,
+    )
+} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op1_exact_topk": OP1_SQL}
 
 
