@@ -23,7 +23,7 @@ def query(oracle: str | None = None):
 
 
 def _load() -> None:
-    pass
+    from . import collections, evaluation, retrieval  # noqa: F401 - they register themselves
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
