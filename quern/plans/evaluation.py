@@ -167,11 +167,11 @@ USER_KEY = "conv_id * 10000 + turn"
 g AS (SELECT DISTINCT id, unnest(list_transform(range(1, length(s)), lambda i: substring(s, i, 2))) AS t FROM r WHERE length(s) >= 2),
 n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
 o AS (SELECT a.id AS earlier, b.id AS later, count(*) AS c FROM g a JOIN g b ON a.t = b.t AND a.id < b.id GROUP BY ALL)
-SELECT earlier, later, round(c / (x.n + y.n - c), 8) AS similarity FROM o JOIN n x ON x.id = earlier JOIN n y ON y.id = later WHERE c / (x.n + y.n - c) >= 0.6""")
+SELECT earlier, later, round(c / (x.n + y.n - c), 8) AS similarity FROM o JOIN n x ON x.id = earlier JOIN n y ON y.id = later WHERE c / (x.n + y.n - c) >= 0.5""")
 def near_questions(spark, sf_dir):
     """Pairs of user turns with similar bigram sets."""
     rows = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.expr(USER_KEY).alias("id"), "text").where(F.length(F.regexp_replace("text", T.WHITESPACE, "")) >= 2)
-    return pooling.near_questions(rows, T.char_ngrams(F.col("text"), 2), "id", 0.6).withColumn("similarity", F.round("similarity", 8))
+    return pooling.near_questions(rows, T.char_ngrams(F.col("text"), 2), "id", 0.5).withColumn("similarity", F.round("similarity", 8))
 
 
 PAIRS = """pairs AS (SELECT u.conv_id * 10000 + u.turn AS sample_id, string_split(a.text, ' ') AS c, string_split(u.text, ' ') AS r
