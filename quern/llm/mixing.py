@@ -7,26 +7,28 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import Stages, read_table
-from .quality import bind, words
+from .quality import bind
 
 #: The classifier: naive Bayes on tokens hashed into BUCKETS, present or absent, fitted on about SAMPLE labelled
 #: documents. Only buckets that SUPPORT of them hold, whose counts by domain differ significantly,
-#: and which some domain holds LIFT times as often as all do, are features: common words would only tell the length.
+#: and which some domain holds LIFT times as often as the others do, are features: common words would only tell the length.
 BUCKETS, SAMPLE, SUPPORT, SIGNIFICANT, LIFT = 1 << 17, 30_000, 5, 30.0, 3.5
-ROUNDS, PER_STAGE, TOLERANCE = 60, 12, 1e-3
+#: Rounds at most, rounds between stagings, relative miss that is met, and relative gain below which no round follows.
+ROUNDS, PER_STAGE, TOLERANCE, GAIN = 60, 12, 3e-2, 1e-2
 #: Rates this near to one are one when copies are dealt out.
 SNAP = 0.1
 
 DOMAINS = ("high", "low", "toxic")
 WEIGHTS = {"high": 0.85, "low": 0.15, "toxic": 0.0}
 
-_CUT = r"[\x20\x09-\x0D]+|(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}\x20\x09-\x0D])"
+#: Runs of letters, digits and all beyond ASCII, and runs of ASCII signs.
+_TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"
 
 
-def token_buckets(text: Column) -> Column:
-    """Distinct buckets of the words and runs of signs of a text."""
-    parts = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _CUT), lambda x: x != "")
-    return F.array_distinct(F.transform(parts, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")))
+def tokens(text: Column) -> Column:
+    """Buckets of the words and runs of signs of a whole text, with repeats."""
+    parts = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), F.lit(0))
+    return F.transform(parts, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -43,7 +45,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...
     total = labelled.count()
     some = labelled if total <= sample else labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * sample / total)
     some = F.broadcast(some) if min(total, 2 * sample) <= 1_000_000 else some
-    rows = docs.select("doc_id", "text").join(some, "doc_id").select("domain", F.explode(F.concat(F.array(F.lit(-1)), token_buckets(F.col("text")))).alias("b"))
+    rows = docs.select("doc_id", "text").join(some, "doc_id").select("domain", F.explode(F.concat(F.array(F.lit(-1)), F.array_distinct(tokens(F.col("text"))))).alias("b"))
     known = rows.where(F.col("domain").isin(*domains))
     tally = known.groupBy("b").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)], F.count("*").alias("n"))
     found = {r[0]: r[1:-1] for r in tally.where(F.col("n") >= F.when(F.col("b") < 0, 0).otherwise(SUPPORT)).collect()}
@@ -55,7 +57,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...
         share = sum(counts) / total
         if sum((c - n * share) ** 2 / (n * share + 1) for c, n in zip(counts, sizes)) < SIGNIFICANT:
             continue
-        if max((c + 1) / (n * share + 1) for c, n in zip(counts, sizes)) < LIFT:
+        rest = lambda i: (sum(counts) - counts[i] + 1) / (total - sizes[i] + 2)
+        if max((c + 1) / (n + 2) / rest(i) for i, (c, n) in enumerate(zip(counts, sizes))) < LIFT:
             continue
         for i, c in enumerate(counts):
             q = (c + 1) / (sizes[i] + 2)
@@ -64,20 +67,25 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...
     return absent, evidence
 
 
-def posteriors(text: Column, priors: list[float], evidence: list[list[float]]) -> Column:
-    """Array of domain probabilities, computed within the row: each table is one constant array."""
+def score_text(text: Column, absent: list[float], evidence: list[list[float]]) -> Column:
+    """Struct of ``n`` tokens and the domain probabilities ``p``, computed within the row: each table is one constant.
+
+    Tokens without evidence are dropped before the sums, so that a row costs one pass over its tokens.
+    """
     tables = [F.split(F.lit(",".join(f"{x:.3f}" if x else "0" for x in row)), ",").cast("array<double>") for row in evidence]
 
     def summed(b: Column, table: Column) -> Column:
         return F.aggregate(b, F.lit(0.0), lambda acc, x: acc + F.get(table, x))
 
-    def score(b: Column) -> Column:
-        return F.array(*[summed(b, t) + p for t, p in zip(tables, priors)])
-
     def softmax(s: Column) -> Column:
         return bind(F.transform(s, lambda x: F.exp(x - F.array_max(s))), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))
 
-    return bind(token_buckets(text), lambda b: bind(score(b), softmax))
+    def scored(b: Column) -> Column:
+        known = F.array_distinct(F.filter(b, lambda x: F.get(tables[0], x) != 0))
+        p = bind(known, lambda k: bind(F.array(*[summed(k, t) + F.lit(c) for t, c in zip(tables, absent)]), softmax))
+        return F.struct(F.size(b).cast("double").alias("n"), p.alias("p"))
+
+    return bind(tokens(text), scored)
 
 
 def rate_of(p: Column, moves: list[list[float]]) -> Column:
@@ -109,7 +117,7 @@ def fit_rates(stages: Stages, rows: DataFrame, k: int, weights: list[float], anc
     for step in range(ROUNDS):
         miss = [(s - t) / c for s, t, c in zip(now, target, scale)]
         error = sum(x * x for x in miss)
-        if error < TOLERANCE**2 or last - error < 1e-5 * error:
+        if error < TOLERANCE**2 or last - error < GAIN * error:
             break
         last = error
         moves.append([x / bound for x in miss])
@@ -125,7 +133,7 @@ def mix_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], a
     """``docs`` plus ``posteriors`` (array in the order of ``weights``), ``tokens`` and ``rate``.
 
     A classifier fitted on ``labelled(doc_id, domain)`` gives each document its domain probabilities; its tokens are
-    the words of its whole text. The rates make the expected tokens of the domains meet ``weights``, the amount being
+    the words and runs of signs of its whole text. The rates make the expected tokens of the domains meet ``weights``, the amount being
     that at which the domain ``anchor`` keeps its own tokens. Text is read once for the probabilities, which are
     staged; the rounds read only them.
 
@@ -134,12 +142,11 @@ def mix_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], a
     """
     stages = Stages(docs.sparkSession, "mixing")
     domains = tuple(weights)
-    priors, evidence = fit_classifier(docs, labelled, domains)
+    absent, evidence = fit_classifier(docs, labelled, domains)
     keep = [c for c in docs.columns if with_text or c != "text"]
     scored = stages.table(docs.select(
-        F.struct(*keep).alias("_doc"), posteriors(F.col("text"), priors, evidence).alias("_p"),
-        F.size(words(F.col("text"))).cast("double").alias("_t"),
-    ))
+        F.struct(*keep).alias("_doc"), score_text(F.col("text"), absent, evidence).alias("_s"),
+    ).select("_doc", F.col("_s.p").alias("_p"), F.col("_s.n").alias("_t")))
     moves = fit_rates(stages, scored.select("_p", "_t"), len(domains), [weights[d] for d in domains], domains.index(anchor))
     return scored.select(
         "_doc.*", F.col("_p").alias("posteriors"), F.col("_t").cast("long").alias("tokens"), rate_of(F.col("_p"), moves).alias("rate")

@@ -384,3 +384,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [chr(1) || array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r(d, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.d, b.y FROM r JOIN b ON r.m = b.x)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id
+FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id JOIN (SELECT d, min(m) AS m FROM r GROUP BY 1) t ON t.d = documents.doc_id
+"""

@@ -152,3 +152,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(docs).select(
         "doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "base_failed", "kept"
     )
+
+
+_METRICS_SQL = {
+    "symbol_share": "n_symbols / greatest(word_chars, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
+    "repeat_share": "n_repeat_words / greatest(n_words, 1)", "word_length": "word_chars / greatest(n_words, 1)",
+}
+_FENCES_SQL = ", ".join(f"quantile_disc({k}, 0.5) + {SPREAD} * (quantile_disc({k}, 0.75) - quantile_disc({k}, 0.5)) + {SLACK[k]} AS {k}" for k in SLACK)
+_FAILS_SQL = " OR ".join(f"m.{k} > CASE WHEN f.n >= {MIN_GROUP} THEN f.{k} WHEN l.n >= {MIN_GROUP} THEN l.{k} ELSE e.{k} END" for k in SLACK)
+
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+t AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM w)),
+p AS (SELECT doc_id, count(DISTINCT j) AS k FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM (SELECT * FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1)) GROUP BY 1),
+s AS (
+  SELECT w.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(k, 0) AS n_repeat_words
+  FROM w LEFT JOIN p ON p.doc_id = w.doc_id
+), m AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in _METRICS_SQL.items())} FROM s),
+x AS (SELECT * FROM m WHERE n_words >= {MIN_WORDS}),
+f AS (SELECT lang, source, count(*) AS n, {_FENCES_SQL} FROM x GROUP BY 1, 2),
+l AS (SELECT lang, count(*) AS n, {_FENCES_SQL} FROM x GROUP BY 1),
+e AS (SELECT {_FENCES_SQL} FROM x)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_SHARE} * n_words AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_SHARE} * n_words OR {_FAILS_SQL}) AS kept
+FROM m LEFT JOIN f ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source LEFT JOIN l ON l.lang IS NOT DISTINCT FROM m.lang, e
+"""

@@ -9,10 +9,10 @@ from .html import op2_html_extraction
 from .langid import op8_language_id
 from .line_dedup import op6_line_dedup
 from .mixing import op9_source_mixing
-from .ngram_join import op3_ngram_join
+from .ngram_join import OP3_SQL, op3_ngram_join
 from .packing import op5_packing
-from .quality import op10_quality_rules
-from .secrets import op7_secret_scan
+from .quality import OP10_SQL, op10_quality_rules
+from .secrets import OP7_SQL, op7_secret_scan
 from .topk import OP1_SQL, op1_exact_topk
 
 QUERIES = {
@@ -21,7 +21,9 @@ QUERIES = {
         op8_language_id, op9_source_mixing, op10_quality_rules,
     )
 } | {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op1_exact_topk": OP1_SQL}
+ORACLES: dict[str, str] = {
+    "op1_exact_topk": OP1_SQL, "op3_ngram_join": OP3_SQL, "op7_secret_scan": OP7_SQL, "op10_quality_rules": OP10_SQL,
+}
 
 
 def queries():
@@ -29,4 +31,5 @@ def queries():
 
 
 def oracle_sql():
-    return dict(ORACLES)
+    more = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return ORACLES | more

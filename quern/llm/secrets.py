@@ -118,3 +118,32 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
         span_text(F.array_sort(F.concat("base", "owned"))).alias("spans"),
     )
+
+
+def _spans_sql(kind: str, pattern: str, group: int, least: int, rank: int) -> str:
+    """Spans of one kind: gaps and matches alternate, so a match begins after the lengths before it."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+SELECT id, source, '{kind}' AS kind, {rank} AS rank, c[i] AS value,
+       CAST(list_sum(list_transform(g[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1 : i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(h[i]) AS n
+FROM (SELECT id, source, g, h, c, unnest(range(1, len(h) + 1)) AS i FROM (
+  SELECT id, source, string_split_regex(text, {p}) AS g, regexp_extract_all(text, {p}) AS h, regexp_extract_all(text, {p}, {group}) AS c FROM d WHERE regexp_matches(text, {p})))
+WHERE length(c[i]) >= {least}"""
+
+
+OP7_SQL = (
+    "WITH d AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text FROM documents),\nb AS ("
+    + "\nUNION ALL".join(_spans_sql(k, *KINDS[k], rank) for rank, k in enumerate(KINDS))
+    + "),\nt AS (" + _spans_sql(OWNED, TOKEN, 0, 20, len(KINDS)) + rf"""
+), o AS (
+  SELECT * FROM t WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= {TOKEN_VARIETY}
+    AND NOT EXISTS (SELECT 1 FROM b WHERE b.id = t.id AND b.a < t.a + t.n AND t.a < b.a + b.n)
+), v AS (SELECT value FROM (SELECT * FROM b UNION ALL SELECT * FROM o) z JOIN d USING (id) GROUP BY value
+         HAVING count(DISTINCT coalesce('x' || d.source, '')) = 1 AND count(DISTINCT coalesce('x' || d.doc_id, '')) <= 3
+), y AS (SELECT *, kind || ':' || a || ':' || (a + n) AS s FROM (SELECT * FROM b UNION ALL SELECT * FROM o WHERE value IN (SELECT value FROM v))),
+j AS (SELECT id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(s, ',' ORDER BY a, rank) FILTER (kind <> '{OWNED}') AS base, string_agg(s, ',' ORDER BY a, rank) AS spans FROM y GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j ON j.id = d.id
+"""
+)
