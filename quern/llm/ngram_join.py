@@ -15,6 +15,8 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Shingles a task gathers before it deals them out, and input bytes per group of the frequency count.
 BLOCK_SHINGLES, GROUP_BYTES = 2_000_000, 8 << 20
+#: Spark's estimate for a plan whose size it does not know is above this; the texts are then measured.
+UNKNOWN_SIZE = 1 << 50
 #: Words kept in a worker's cache of word hashes; it is emptied when full.
 CACHE_WORDS = 500_000
 #: Ranges of hashes in which the suffix filter counts a set's remaining shingles.
@@ -167,6 +169,8 @@ def shingle_sets(stages: Stages, docs: DataFrame) -> tuple[DataFrame, DataFrame]
     """
     spark = docs.sparkSession
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= UNKNOWN_SIZE:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(least, size // GROUP_BYTES)
     set_groups = max(least, groups // 4)
