@@ -264,6 +264,36 @@ def test_line_dedup_finds_planted_near_lines(spark, rows):
     assert found >= 195 and len(set(label.values())) == found
 
 
+def test_line_dedup_proposes_short_lines_and_lines_without_spaces(rows):
+    import random
+
+    rng = random.Random(9)
+    shingles = lambda t: {t[i : i + 5] for i in range(len(t) - 4)}
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    pairs = []
+    for kind in [*range(3, 13), "joined", "han"]:
+        found = 0
+        while found < 60:
+            if kind == "han":
+                a = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(50))
+            else:
+                a = ("" if kind == "joined" else " ").join(word() for _ in range(10 if kind == "joined" else kind))
+            b = list(a)
+            for _ in range(rng.randint(1, 2)):
+                b[rng.randrange(len(b))] = "z"
+            b = "".join(b).strip()
+            x, y = shingles(a), shingles(b)
+            if 0.75 <= len(x & y) / len(x | y) < 1:
+                pairs.append((str(kind), a, b))
+                found += 1
+    df = rows("kind string, a string, b string", pairs)
+    table = line_dedup.band_table(df.select(F.col("a").alias("norm")).union(df.select("b")))
+    side = lambda x: table.select(F.col("id").alias(f"i{x}"), F.col("bands").alias(f"b{x}"))
+    both = df.join(side("a"), F.xxhash64("a") == F.col("ia")).join(side("b"), F.xxhash64("b") == F.col("ib"))
+    got = dict(map(tuple, both.groupBy("kind").agg(F.avg(F.arrays_overlap("ba", "bb").cast("int"))).collect()))
+    assert len(got) == 12 and min(got.values()) >= 0.9 and sum(got.values()) / len(got) >= 0.95, got
+
+
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
