@@ -364,6 +364,23 @@ def test_mixing_meets_targets(spark, rows):
     assert mixing.mix_rates(docs, labelled.limit(0), mixing.WEIGHTS, "high").count() == 302
 
 
+@pytest.mark.parametrize("one_in", [300, 1000])
+def test_mixing_meets_targets_of_rare_domains(rows, one_in):
+    data = [([0.001, 0.998, 0.001] if i % one_in == 1 else [0.02, 0.01, 0.97] if i % 30 == 0 else [0.997, 0.002, 0.001], 50.0 + i % 7) for i in range(3000)]
+    table = rows("_p array<double>, _t double", data)
+    lift, miss = mixing.fit_rates(table, [0.85, 0.15, 0.0], 0)
+    got = [r[0] for r in table.select(mixing.rate_of(F.col("_p"), lift)).collect()]
+    total = [sum(r * t * p[k] for r, (p, t) in zip(got, data)) for k in range(3)]
+    start = sum(t * p[0] for p, t in data)
+    assert min(got) >= 0 and abs(total[0] / start - 1) < 0.002 and abs(total[1] / (start * 15 / 85) - 1) < 0.002, (total, miss)
+
+
+def test_mixing_reports_targets_that_cannot_be_met(spark, rows):
+    docs = rows("doc_id long, text string", [(i, f"plain words {i}") for i in range(20)])
+    with pytest.warns(UserWarning, match="misses its token targets"):
+        mixing.mix_rates(docs, rows("doc_id long, domain string", []), mixing.WEIGHTS, "high").count()
+
+
 def brute_quality(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
