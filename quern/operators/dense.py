@@ -8,8 +8,8 @@ from quern.functions.text import bind
 
 from .lexical import EXACT, top_k
 
-#: Query vectors are broadcast up to this many; more are searched in blocks of this size by the caller's loop.
-BROADCAST_QUERIES = 10_000
+#: Query vectors are broadcast up to this many; more are dealt into blocks of about this size, and so are candidates.
+BROADCAST_QUERIES, CANDIDATE_BLOCK = 10_000, 50_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,15 +36,23 @@ def unit(v: Column) -> Column:
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, include_self: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank) by cosine of ``vectors(doc_id, v)`` and ``queries(query_id, v)``; exact.
 
-    The queries are a stated set; they are broadcast after a count, so candidates stay where they are read and each
-    partition keeps k per query before the shuffle.
+    Queries are counted. Few are broadcast, so candidates stay where they are read; with more, both sides are dealt
+    into blocks and each pair of blocks is one group of an equi-join. Either way each partition keeps k per query
+    before the shuffle, and every pair is scored.
     """
     n = queries.count()
-    if n > BROADCAST_QUERIES:
-        raise ValueError(f"{n} queries; search them in blocks of {BROADCAST_QUERIES}")
     norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
     d = vectors.select("doc_id", F.col("v").alias("dv")).withColumn("dn", norm("dv"))
     q = queries.select("query_id", F.col("v").alias("qv")).withColumn("qn", norm("qv"))
-    pairs = d.join(F.broadcast(q), F.lit(True) if include_self else F.col("doc_id") != F.col("query_id"))
+    other = F.lit(True) if include_self else F.col("doc_id") != F.col("query_id")
+    if n <= BROADCAST_QUERIES:
+        pairs = d.join(F.broadcast(q), other)
+    else:
+        gq, gd = -(-n // BROADCAST_QUERIES), max(1, -(-vectors.count() // CANDIDATE_BLOCK))
+        dealt = lambda blocks: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+        every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        q = q.withColumn("_gq", dealt(gq)).withColumn("_gd", every(gd))
+        d = d.withColumn("_gd", dealt(gd)).withColumn("_gq", every(gq))
+        pairs = d.join(q, ["_gq", "_gd"]).where(other)
     scored = pairs.select("query_id", "doc_id", (dot(F.col("dv"), F.col("qv")) / (F.col("dn") * F.col("qn"))).cast(EXACT).alias("score"))
     return top_k(scored, k)

@@ -42,6 +42,17 @@ def test_statistics_of_an_empty_collection(rows):
     assert lexical.bm25_topk(docs, rows("query_id int, text string", [(1, "ab")]), 3).count() == 0
 
 
+@pytest.mark.parametrize("include_self", [False, True])
+def test_dense_blocks_of_queries_give_the_same_run(rows, monkeypatch, include_self):
+    v = rows("doc_id int, v array<float>", [(i, [float(i * 7 % 11 + 1), float(i * 5 % 13 - 6), float(i % 3)]) for i in range(40)])
+    q = v.where("doc_id % 2 = 0").select(F.col("doc_id").alias("query_id"), "v")
+    run = lambda: sorted(map(tuple, dense.dense_topk(v, q, 5, include_self).select("query_id", "doc_id", "score", "rank").collect()))
+    want = run()
+    monkeypatch.setattr(dense, "BROADCAST_QUERIES", 6)
+    monkeypatch.setattr(dense, "CANDIDATE_BLOCK", 15, raising=False)
+    assert run() == want and len(want) == 100
+
+
 def test_dense_ties_and_prefix(rows):
     v = rows("doc_id int, v array<float>", [(1, [1.0, 0.0, 5.0]), (2, [2.0, 0.0, 1.0]), (3, [0.0, 1.0, 0.0])])
     q = rows("query_id int, v array<float>", [(9, [1.0, 0.0, 0.0])])
