@@ -32,10 +32,11 @@ class WordEncoder:
     The pre-tokenizer never joins characters over a single space that stands between two other characters that are
     not white space, so the words cut there are encoded by themselves and kept in a bounded cache. A text whose
     words touch other white space is cut only where that rule holds. The ids equal those of the whole text.
-    Strings of special tokens in a text are ordinary text.
+    Strings of the vocabulary's added tokens get their own ids, and the text between them is encoded by itself.
     """
 
     def __init__(self, vocabulary: str):
+        import json
         import re
 
         import public_tokenizers
@@ -44,6 +45,9 @@ class WordEncoder:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+            self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in json.load(f)["added_tokens"]}
+        self.added_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.cut = re.compile(r"(?<=\S) (?=\S)")
         encoder = self
 
@@ -61,6 +65,11 @@ class WordEncoder:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return b"".join(self.added.get(part) or self.ordinary(part) for part in self.added_cut.split(text) if part)
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
         words = text.split(" ")
         first = words[0]
         if first and not first[0].isspace() and not first[-1].isspace():

@@ -181,6 +181,16 @@ def test_word_encoder_equals_the_whole_text(text):
     assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_word_encoder_gives_added_tokens_their_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for text in ("<|endoftext|>", "a b <|endoftext|> c", "x<|endoftext|><|endoftext|>\ny  z", " <|endoftext|>", "<|endoftext", "plain words"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def check_packed(pieces, sizes, window):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in pieces:
