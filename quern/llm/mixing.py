@@ -18,9 +18,6 @@ BUCKETS, SAMPLE, SUPPORT, SIGNIFICANT, LIFT = 1 << 17, 30_000, 5, 30.0, 3.5
 #: Relative miss that is met; relative gradient at which the targets are as near as they can be; weight of the rates'
 #: distance from one beside the misses; rounds at most. A miss that stays is reported.
 TOLERANCE, KKT, RIDGE, ROUNDS = 1e-3, 1e-7, 1e-6, 200
-#: Rates this near to one are one when copies are dealt out.
-SNAP = 0.1
-
 DOMAINS = ("high", "low", "toxic")
 WEIGHTS = {"high": 0.85, "low": 0.15, "toxic": 0.0}
 
@@ -167,9 +164,23 @@ def mix_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], a
 
 
 def copies(rate: Column, key: Column) -> Column:
-    """Whole copies of a document: the rate rounded by the key's hash, and one copy for rates within SNAP of one."""
+    """Whole copies of a document: the rate rounded by the key's hash, without bias; one for rates that are one within TOLERANCE."""
     u = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
-    return F.when(F.abs(rate - 1) <= SNAP, F.lit(1)).otherwise(F.floor(rate + u).cast("int"))
+    return F.when(F.abs(rate - 1) <= TOLERANCE, F.lit(1)).otherwise(F.floor(rate + u).cast("int"))
+
+
+def domain_totals(mixed: DataFrame, weights: dict[str, float], anchor: str) -> DataFrame:
+    """(domain, target, fitted, dealt): token totals of ``mixed(doc_id, posteriors, tokens, rate)`` from mix_rates, by rate and by copies."""
+    part = mixed.select(
+        F.posexplode("posteriors").alias("i", "p"), "tokens", "rate", copies(F.col("rate"), F.col("doc_id")).alias("n")
+    ).select("i", (F.col("p") * F.col("tokens")).alias("t"), "rate", "n")
+    totals = part.groupBy("i").agg(F.sum("t").alias("start"), F.sum(F.col("t") * F.col("rate")).alias("fitted"), F.sum(F.col("t") * F.col("n")).alias("dealt"))
+    at = list(weights).index(anchor)
+    amount = totals.where(F.col("i") == at).select((F.col("start") / weights[anchor]).alias("_amount"))
+    names, shares = F.array(*map(F.lit, weights)), F.array(*[F.lit(float(w)) for w in weights.values()])
+    return totals.crossJoin(amount).select(
+        names[F.col("i")].alias("domain"), (shares[F.col("i")] * F.col("_amount")).alias("target"), "fitted", "dealt"
+    )
 
 
 def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str) -> DataFrame:

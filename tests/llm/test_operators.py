@@ -385,6 +385,14 @@ def test_mixing_meets_targets_of_rare_domains(rows, one_in):
     assert min(got) >= 0 and abs(total[0] / start - 1) < 0.002 and abs(total[1] / (start * 15 / 85) - 1) < 0.002, (total, miss)
 
 
+@pytest.mark.parametrize("rate", [0.92, 1.08])
+def test_dealt_copies_meet_the_fitted_totals(rows, rate):
+    mixed = rows("doc_id long, posteriors array<double>, tokens long, rate double", [(i, [0.9, 0.1], 100, rate) for i in range(4000)])
+    got = {r["domain"]: r for r in mixing.domain_totals(mixed, {"a": 0.9, "b": 0.1}, "a").collect()}
+    assert abs(got["a"]["dealt"] / got["a"]["fitted"] - 1) < 0.02 and abs(got["b"]["target"] - 40_000) < 1
+    assert abs(got["a"]["fitted"] - 360_000 * rate) < 1
+
+
 def test_mixing_reports_targets_that_cannot_be_met(spark, rows):
     docs = rows("doc_id long, text string", [(i, f"plain words {i}") for i in range(20)])
     with pytest.warns(UserWarning, match="misses its token targets"):
