@@ -100,7 +100,7 @@ def fit_rates(rows: DataFrame, weights: list[float], anchor: int) -> tuple[list[
     rates >= 0, and among such rates the squared distance from one, weighted by tokens. Rates of that form are the
     optimum for a ``lift`` that minimises a convex function of k variables, found by damped Newton steps: a domain
     that is rare against its weight needs no more rounds than others. A round is one aggregation of k * k + k + 1 sums.
-    Rounds end when all targets are met within TOLERANCE, or at the optimum when no rates >= 0 meet them.
+    Rounds end when all targets are met within TOLERANCE, at the optimum when no rates >= 0 meet them, or after ROUNDS.
     """
     k = len(weights)
 
