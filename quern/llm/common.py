@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 #: Characters between words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -18,6 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
+@contextmanager
+def shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of a query that runs herein are removed when it ends, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Stages:
     """Tables written to the shared folder, so that a lost executor costs a re-read and not a recomputation.
 
@@ -32,7 +46,8 @@ class Stages:
     def table(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        with shuffle_files_go(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quern_path = path
         return out
@@ -73,13 +88,15 @@ def components(stages: Stages, edges: DataFrame) -> DataFrame:
             .union(small_low.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        new = stages.table(small)
-        row = new.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
+        seen = Observation()
+        new = stages.table(small.observe(
+            seen, F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("sum"), F.bit_xor(F.xxhash64("a", "b")).alias("xor")
+        ))
         stages.drop(cur)
         cur = new
-        if tuple(row) == mark:
+        if seen.get == mark:
             break
-        mark = tuple(row)
+        mark = seen.get
     return cur.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         cur.select("b", "b").distinct()
     )

@@ -257,51 +257,88 @@ def test_line_dedup(rows):
     assert got[0]["base"] == "b" and line_dedup.dedup_lines(documents(rows, [])).count() == 0
 
 
-def test_line_dedup_finds_planted_near_lines(spark, rows):
-    import random
+def shingle_set(line):
+    return {line[i : i + 5] for i in range(max(len(line) - 4, 1))}
 
-    rng = random.Random(5)
-    lines, found = [], 0
-    for i in range(200):
-        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(30)]
-        other = list(words)
-        other[rng.randrange(30)] = "zzzz"
-        lines += [" ".join(words), " ".join(other)]
-    label = dict(map(tuple, line_dedup.similar_lines(Stages(spark, "t"), line_dedup.line_rows(documents(rows, lines).withColumn("_row", F.col("doc_id")))).collect()))
-    ids = [r[0] for r in rows("i int, t string", list(enumerate(lines))).orderBy("i").select(F.xxhash64(line_dedup.normal(F.col("t")))).collect()]
-    for a, b in zip(ids[::2], ids[1::2]):
-        found += a in label and label[a] == label.get(b)
-    assert found >= 195 and len(set(label.values())) == found
-
-
-def test_line_dedup_proposes_short_lines_and_lines_without_spaces(rows):
-    import random
 
-    rng = random.Random(9)
-    shingles = lambda t: {t[i : i + 5] for i in range(len(t) - 4)}
+def edited(rng, line, edits):
+    b = list(line)
+    for _ in range(edits):
+        b[rng.randrange(len(b))] = rng.choice("zy")
+    return "".join(b).strip()
+
+
+def line_kinds(rng, kinds, each):
+    """kind -> near pairs of lines: of 3 to 12 words, long ones, ones without spaces, Chinese ones, ones around the length from which shingles are sifted."""
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
-    pairs = []
-    for kind in [*range(3, 13), "joined", "han"]:
-        found = 0
-        while found < 60:
+    out = defaultdict(list)
+    for kind in kinds:
+        while len(out[kind]) < each:
             if kind == "han":
                 a = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(50))
+            elif kind == "joined":
+                a = "".join(word() for _ in range(10))
+            elif kind == "border":
+                a = " ".join(word() for _ in range(30))[: rng.randrange(120, 145)].strip()
             else:
-                a = ("" if kind == "joined" else " ").join(word() for _ in range(10 if kind == "joined" else kind))
-            b = list(a)
-            for _ in range(rng.randint(1, 2)):
-                b[rng.randrange(len(b))] = "z"
-            b = "".join(b).strip()
-            x, y = shingles(a), shingles(b)
+                a = " ".join(word() for _ in range(kind))
+            b = edited(rng, a, rng.randint(1, max(1, len(a) // 40)))
+            x, y = shingle_set(a), shingle_set(b)
             if 0.75 <= len(x & y) / len(x | y) < 1:
-                pairs.append((str(kind), a, b))
-                found += 1
-    df = rows("kind string, a string, b string", pairs)
-    table = line_dedup.band_table(df.select(F.col("a").alias("norm")).union(df.select("b")))
-    side = lambda x: table.select(F.col("id").alias(f"i{x}"), F.col("bands").alias(f"b{x}"))
-    both = df.join(side("a"), F.xxhash64("a") == F.col("ia")).join(side("b"), F.xxhash64("b") == F.col("ib"))
-    got = dict(map(tuple, both.groupBy("kind").agg(F.avg(F.arrays_overlap("ba", "bb").cast("int"))).collect()))
-    assert len(got) == 12 and min(got.values()) >= 0.9 and sum(got.values()) / len(got) >= 0.95, got
+                out[kind].append((a, b))
+    return out
+
+
+def test_line_dedup_against_brute_force(rows):
+    import random
+
+    rng = random.Random(9)
+    kinds = line_kinds(rng, [*range(3, 13), 40, 120, "border", "joined", "han"], 40)
+    lines = [x for pairs in kinds.values() for p in pairs for x in p]
+    # groups of copies of copies: neighbours link, far ones need not
+    for _ in range(5):
+        a = lines[rng.randrange(400, 500)]
+        for _ in range(20):
+            a = edited(rng, a, 1)
+            lines.append(a)
+    rng.shuffle(lines)
+    sets, holders = [shingle_set(x) for x in lines], defaultdict(list)
+    parent = list(range(len(lines)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in {j for g in x for j in holders[g]}:
+            if 4 * len(x & sets[j]) >= 3 * len(x | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+        for g in x:
+            holders[g].append(i)
+    want = {i for i in range(len(lines)) if find(i) != i}
+    texts = ["\n".join(lines[i : i + 10]) for i in range(0, len(lines), 10)]
+    got = {10 * r["doc_id"] + k for r in line_dedup.dedup_lines(documents(rows, texts)).collect() for k in r["dropped"]}
+    assert got <= want and len(got) >= 0.96 * len(want)
+    at = {x: i for i, x in enumerate(lines)}
+    for kind, pairs in kinds.items():
+        assert sum(max(at[a], at[b]) in got for a, b in pairs) >= 36, kind
+
+
+def test_line_signatures_depend_on_the_set_of_shingles(rows):
+    got = line_dedup.signatures(rows("id long, norm string", [(1, "ab" * 63), (2, "ab" * 200), (2, "ab" * 200), (3, "x")])).orderBy("id").collect()
+    assert [r["n"] for r in got] == [1, 2, 1] and got[0][2:] == got[1][2:] != got[2][2:]
+
+
+def test_line_dedup_keeps_clashing_columns(rows):
+    names = "_row long, _doc string, _ids int, id int, band int, text string, dropped string, doc_id long, component int, a int"
+    data = [(7, "d", 1, 2, 3, "one line here\nother", "mine", None, 4, 5), (7, "e", 1, 2, 3, "One line here \nnew", "mine", 1, 4, 5), (8, None, None, None, None, None, None, 1, None, None)]
+    got = line_dedup.dedup_lines(rows(names, data))
+    assert sorted(got.columns) == sorted(["_row", "_doc", "_ids", "id", "band", "doc_id", "component", "a", "text", "n_lines", "dropped"])
+    assert sorted((r["_row"], r["_doc"], r["a"], r["text"], r["n_lines"], r["dropped"]) for r in got.collect() if r["_doc"]) == [
+        (7, "d", 5, "one line here\nother", 2, []), (7, "e", 5, "new", 2, [0]),
+    ]
 
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
