@@ -424,12 +424,86 @@ def test_mixing_meets_targets_of_rare_domains(rows, one_in):
 
 @pytest.mark.parametrize("rate", [0.92, 1.08])
 def test_dealt_copies_meet_the_fitted_totals(rows, rate):
-    mixed = rows("doc_id long, posteriors array<double>, tokens long, rate double", [(i, [0.9, 0.1], 100, rate) for i in range(4000)])
+    mixed = rows("draw long, posteriors array<double>, tokens long, rate double", [(i, [0.9, 0.1], 100, rate) for i in range(4000)])
+    mixed = mixed.withColumn("copies", mixing.copies(F.col("rate"), F.col("draw")))
     got = {r["domain"]: r for r in mixing.domain_totals(mixed, {"a": 0.9, "b": 0.1}, "a").collect()}
     assert abs(got["a"]["dealt"] / got["a"]["fitted"] - 1) < 0.02 and abs(got["b"]["target"] - 40_000) < 1
     assert abs(got["a"]["fitted"] - 360_000 * rate) < 1
 
 
+def plain_posteriors(texts, labels, domains):
+    """A plain form of the classifier: presence of token buckets, counted and scored one document at a time."""
+
+    def buckets(t):
+        return {zlib.crc32(x.encode()) for x in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", (t or "").lower())}
+
+    seen = [(buckets(texts[i]), d) for i, d in labels.items() if i in texts]
+    sizes = {d: 1 + sum(x == d for _, x in seen) for d in domains}
+    total, evidence, base = sum(sizes.values()), {}, {d: math.log(sizes[d] / sum(sizes.values())) for d in domains}
+    for b in {b for s, _ in seen for b in s}:
+        n = {d: sum(b in s for s, x in seen if x == d) for d in domains}
+        share = sum(n.values()) / total
+        if sum(n.values()) < mixing.SUPPORT or sum((n[d] - sizes[d] * share) ** 2 / (sizes[d] * share + 1) for d in domains) < mixing.SIGNIFICANT:
+            continue
+        if max((n[d] + 1) / (sizes[d] + 2) * (total - sizes[d] + 2) / (sum(n.values()) - n[d] + 1) for d in domains) < mixing.LIFT:
+            continue
+        for d in domains:
+            q = (n[d] + 1) / (sizes[d] + 2)
+            base[d] += math.log(1 - q)
+            evidence[b, d] = math.log(q / (1 - q))
+    out = {}
+    for i, t in texts.items():
+        logit = [base[d] + sum(evidence.get((b, d), 0) for b in buckets(t)) for d in domains]
+        e = [math.exp(x - max(logit)) for x in logit]
+        out[i] = [x / sum(e) for x in e]
+    return out
+
+
+def test_mixing_against_plain_classifier_and_least_squares(rows):
+    import random
+
+    rng = random.Random(4)
+    texts, labels = {}, {}
+    for i in range(900):
+        d = ("high", "low", "toxic")[0 if i % 10 < 7 else 1 if i % 10 < 9 else 2]
+        words = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(5, 60))]
+        words += rng.sample({"high": ["theorem", "proof", "lemma"], "low": ["click!!", "buy", "$$$"], "toxic": ["idiot", "scum", "moron"]}[d], rng.randrange(0, 3))
+        rng.shuffle(words)
+        texts[i], labels[i] = " ".join(words), d
+    weights = {"high": 0.8, "low": 0.2, "toxic": 0.0}
+    docs = rows("doc_id long, text string", [*texts.items(), (None, "theorem w1"), (None, "theorem w1"), (1000, None)])
+    labelled = rows("doc_id long, domain string", [(i, d) for i, d in labels.items() if i % 2])
+    mixed = mixing.mix_rates(docs, labelled, weights, "high").collect()
+    want = plain_posteriors(texts, {i: d for i, d in labels.items() if i % 2}, list(weights))
+    got = {r["doc_id"]: r for r in mixed}
+    assert len(mixed) == 903 and max(abs(a - b) for i, p in want.items() for a, b in zip(p, got[i]["posteriors"])) < 0.01
+    # plain projected gradient on the rates of the classes of equal documents, to convergence, from the same posteriors
+    p, t = np.array([r["posteriors"] for r in mixed]), np.array([r["tokens"] for r in mixed], float)
+    start = t @ p
+    target = start[0] / 0.8 * np.array([0.8, 0.2, 0.0])
+    scale, rate = np.maximum(start, target), np.ones(len(t))
+    a = (p * t[:, None] / scale).T
+    step = 1 / np.linalg.norm(a @ np.diag(1 / t.clip(1)) @ a.T, 2)
+    for _ in range(30_000):
+        rate = np.maximum(0, rate - step * (a.T @ (a @ rate - target / scale)) / t.clip(1))
+    here = np.array([r["rate"] for r in mixed])
+    # on the misses it must be as good as the plain solution
+    assert np.abs(a @ here - target / scale).max() < np.abs(a @ rate - target / scale).max() + 2e-3
+
+
+def test_mixing_odd_input(rows):
+    names = "doc_id long, text string, _row long, _doc string, rate string, tokens string, copies string, b int, e0 int, _all string, posteriors int"
+    long = "plain words " * 50_000
+    data = [(1, long, 5, "d", "mine", "x", "y", 1, 2, "a", 3), (1, long, 5, "d", "mine", "x", "y", 1, 2, "a", 3), (None, None, None, None, None, None, None, None, None, None, None)]
+    labelled = rows("doc_id long, domain string", [(1, "high"), (None, "low"), (9, "toxic")])
+    weights = {"high": 1.0, "low": 0.0}
+    got = mixing.mix_rates(rows(names, data), labelled, weights, "high").collect()
+    assert sorted(((r["doc_id"] or 0, r["tokens"], r["_doc"] or "", r["e0"] or 0) for r in got)) == [(0, 0, "", 0), (1, 100_000, "d", 2), (1, 100_000, "d", 2)]
+    assert {r["tokens"] for r in got} == {0, 100_000} and {r["_row"] for r in got} == {5, None}
+    back = mixing.resample(rows(names, data), labelled, {"high": 1.0}, "high")
+    assert back.columns == rows(names, data).columns and sorted(map(str, back.collect())) == sorted(map(str, rows(names, data).collect()))
+
+
 def test_mixing_reports_targets_that_cannot_be_met(spark, rows):
     docs = rows("doc_id long, text string", [(i, f"plain words {i}") for i in range(20)])
     with pytest.warns(UserWarning, match="misses its token targets"):
