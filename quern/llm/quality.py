@@ -8,14 +8,21 @@ from .common import SPACES, WORD_GAP, Stages, read_table
 
 MIN_WORDS = 50
 REPEAT_SHARE = 50
-#: Groups with fewer documents take the thresholds of their language, languages with fewer those of all documents.
-MIN_GROUP = 50
 #: Accuracy of the quantile sketches: the rank error is 1 / ACCURACY of a group.
 ACCURACY = 10_000
-#: A document is rejected by a metric above median + SPREAD * (upper quartile - median) + SLACK[metric].
-SPREAD = 8.0
-#: The slack keeps a group without any spread from rejecting a document for one repeated line.
-SLACK = {"symbol_share": 0.03, "dup_line_share": 0.5, "repeat_share": 0.45, "word_length": 2.0}
+#: A group's fence for a metric is median + SPREAD * (TAIL quantile - median). It is averaged with the fence of the group
+#: above (language; all documents) as if that were SHRINK documents, and is at most LOOSE times it: a source full of
+#: junk cannot lift its own fence.
+TAIL, SPREAD, SHRINK, LOOSE = 0.9, 6.0, 50, 2.0
+#: A document fails if its count is NOISE standard deviations of a count above what the fence lets expect for its size.
+NOISE = 6.0
+#: Metrics: (count, size), fenced as count / size.
+METRICS = {
+    "symbol_share": ("n_symbols", "word_chars"), "dup_line_share": ("n_dup_lines", "n_lines"),
+    "repeat_share": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words"),
+}
+#: Groups whose fences may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -73,93 +80,78 @@ def text_stats(text: Column) -> Column:
     )
 
 
-def _metrics(s: Column) -> dict[str, Column]:
-    some = F.greatest(s["n_words"], F.lit(1))
-    return {
-        "symbol_share": s["n_symbols"] / F.greatest(s["word_chars"], F.lit(1)),
-        "dup_line_share": s["n_dup_lines"] / F.greatest(s["n_lines"], F.lit(1)),
-        "repeat_share": s["n_repeat_words"] / some,
-        "word_length": s["word_chars"] / some,
-    }
-
+def fences(stages: Stages, stats: DataFrame) -> DataFrame:
+    """(lang, source, fence struct) for each pair of ``stats(lang, source, q)``, q from text_stats, null being a value of its own.
 
-def rate_documents(stats: DataFrame) -> DataFrame:
-    """Adds ``base_failed``, ``kept`` and ``failed_rules`` to ``stats(_q, lang, source, ...)``, _q from text_stats.
-
-    The quantile sketches (approx_percentile: mergeable summaries, combined on the map side) are made per language
-    and source, per language, and for all documents. A group takes the finest level with MIN_GROUP documents; its
-    fences are joined to the documents, null language and source being values of their own.
+    The quantile sketches (approx_percentile: mergeable summaries, combined on the map side) are made per language and
+    source, per language, and for all documents that the fixed rules keep.
     """
-    s = F.col("_q")
-    metrics = _metrics(s)
-    flat = stats.select(
-        F.struct(F.col("lang")).alias("_l"), F.struct(F.col("source")).alias("_s"),
-        *[v.alias(f"_m_{k}") for k, v in metrics.items()],
-    ).where(s["n_words"] >= MIN_WORDS)
-    sketches = (
-        flat.rollup("_l", "_s")
-        .agg(F.count("*").alias("_n"), *[
-            F.percentile_approx(f"_m_{k}", F.array(F.lit(0.5), F.lit(0.75)), F.lit(ACCURACY)).alias(f"_p_{k}") for k in metrics
-        ])
-        .select("_l", "_s", "_n", F.struct(*[
-            (F.col(f"_p_{k}")[0] + SPREAD * (F.col(f"_p_{k}")[1] - F.col(f"_p_{k}")[0]) + SLACK[k]).alias(k) for k in metrics
-        ]).alias("_t"))
-    )
-    level = lambda name, where: sketches.where(where).select(
-        F.col("_l.lang").alias(f"_{name}_l"), F.col("_s.source").alias(f"_{name}_s"),
-        F.when(F.col("_n") >= MIN_GROUP, F.col("_t")).alias(f"_{name}_t"),
-    )
-    fine = level("f", "_l is not null and _s is not null")
-    lang = level("g", "_l is not null and _s is null").drop("_g_s")
-    every = sketches.where("_l is null").select(F.col("_t").alias("_e_t"))
-    joined = (
-        stats.join(fine, F.col("lang").eqNullSafe(F.col("_f_l")) & F.col("source").eqNullSafe(F.col("_f_s")), "left")
-        .join(F.broadcast(lang), F.col("lang").eqNullSafe(F.col("_g_l")), "left")
-        .join(F.broadcast(every), F.lit(True), "left")
-    )
-    fence = F.coalesce("_f_t", "_g_t", "_e_t")
-    joined = joined.withColumn("_fence", fence)
-    failed = F.filter(
-        F.array(*[F.when(v > F.col("_fence")[k], F.lit(k)) for k, v in metrics.items()]), lambda x: x.isNotNull()
-    )
-    base = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > REPEAT_SHARE * s["n_words"])
-    return (
-        joined.withColumn("base_failed", base).withColumn("failed_rules", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-        .drop("_f_l", "_f_s", "_f_t", "_g_l", "_g_t", "_e_t", "_fence")
+    base = stats.where(~base_fails(F.col("q")))
+    flat = base.select(
+        F.struct("lang").alias("l"), F.struct("source").alias("s"),
+        *[(F.col("q")[a] / F.greatest(F.col("q")[b], F.lit(1))).alias(k) for k, (a, b) in METRICS.items()],
     )
+    fence = lambda k: F.col(k)[0] + SPREAD * (F.col(k)[1] - F.col(k)[0])
+    sketches = flat.rollup("l", "s").agg(F.count("*").alias("n"), *[F.percentile_approx(k, F.array(F.lit(0.5), F.lit(TAIL)), F.lit(ACCURACY)).alias(k) for k in METRICS])
+    levels = stages.table(sketches.select("l", "s", "n", *[fence(k).alias(k) for k in METRICS]))
+    every = levels.where("l is null").first()
+
+    def below(own: str, above: str | None) -> list[Column]:
+        up = lambda k: F.col(f"{above}.{k}") if above else F.lit(every[k] if every else None).cast("double")
+        n = F.col(f"{own}.n")
+        return [F.least((n * F.col(f"{own}.{k}") + SHRINK * up(k)) / (n + SHRINK), LOOSE * up(k)).alias(k) for k in METRICS]
+
+    langs = levels.where("l is not null and s is null").alias("o").select("l", *below("o", None))
+    pairs = levels.where("l is not null and s is not null").alias("o").join(langs.alias("u"), F.col("o.l") == F.col("u.l"))
+    return stages.table(pairs.select(F.col("o.l.lang").alias("lang"), F.col("o.s.source").alias("source"), F.struct(*below("o", "u")).alias("fence")))
+
+
+def base_fails(q: Column) -> Column:
+    return (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > REPEAT_SHARE * q["n_words"])
 
 
 def quality_table(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """One row per document: its columns, text only ``with_text``, plus ``_q`` (text_stats), verdict and failed rules.
+    """The columns of ``docs``, text only ``with_text``, plus the counts of text_stats, ``base_failed``, ``failed_rules`` and ``kept``.
 
-    The statistics are computed once and staged; thresholds and the join read the staged rows. Null text has no
-    words and fails; null language and source form their own groups; an empty table gives no rows; repeated rows are
-    rated each; other columns pass through (columns starting with ``_`` followed by a short name are the operator's).
+    A document is rejected by the fixed rules, or by a metric whose count is too high for the fence of its language and
+    source. The counts are computed once and staged; sketches and the join read the staged rows.
+
+    Null text has no words and fails; so does empty text. Very long texts are read whole. Null language and source are
+    values of their own. Repeated rows are rated each, and ties have the same verdict. An empty table gives no rows.
+    Other columns pass through, whatever their names, but input columns named like a result give way.
     """
     stages = Stages(docs.sparkSession, "quality")
-    keep = docs.columns if with_text else [c for c in docs.columns if c != "text"]
-    return rate_documents(stages.table(docs.select(*keep, text_stats(F.col("text")).alias("_q"))))
+    results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", "failed_rules", "kept")
+    own = [c for c in docs.columns if c not in results and (with_text or c != "text")]
+    rows = stages.table(docs.select(F.struct(*own).alias("doc"), "lang", "source", text_stats(F.col("text")).alias("q")))
+    limits = fences(stages, rows.select("lang", "source", "q")).alias("f")
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_ROWS else limits
+    joined = rows.alias("d").join(limits, F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source")), "left")
+    above = lambda count, allowed: count > allowed + NOISE * F.sqrt(allowed + 1)
+    failed = F.filter(
+        F.array(*[F.when(above(F.col("q")[a], F.col("fence")[k] * F.col("q")[b]), F.lit(k)) for k, (a, b) in METRICS.items()]), lambda x: x.isNotNull()
+    )
+    rated = joined.select("doc", "q", base_fails(F.col("q")).alias("base_failed"), failed.alias("failed_rules"))
+    return rated.select("doc.*", "q.*", "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    return quality_table(docs, with_text=True).where("kept").select(*docs.columns)
+    """The documents that pass, with their own columns and values; odd rows as in quality_table."""
+    whole = docs.select(F.struct(*docs.columns).alias("all"), "text", "lang", "source")
+    return quality_table(whole).where("kept").select("all.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_table(docs).select(
-        "doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "base_failed", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
-_METRICS_SQL = {
-    "symbol_share": "n_symbols / greatest(word_chars, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
-    "repeat_share": "n_repeat_words / greatest(n_words, 1)", "word_length": "word_chars / greatest(n_words, 1)",
-}
-_FENCES_SQL = ", ".join(f"quantile_disc({k}, 0.5) + {SPREAD} * (quantile_disc({k}, 0.75) - quantile_disc({k}, 0.5)) + {SLACK[k]} AS {k}" for k in SLACK)
-_FAILS_SQL = " OR ".join(f"m.{k} > CASE WHEN f.n >= {MIN_GROUP} THEN f.{k} WHEN l.n >= {MIN_GROUP} THEN l.{k} ELSE e.{k} END" for k in SLACK)
+_SHARES_SQL = ", ".join(f"{a} / greatest({b}, 1) AS {k}" for k, (a, b) in METRICS.items())
+_FENCES_SQL = ", ".join(f"quantile_disc({k}, 0.5) + {SPREAD} * (quantile_disc({k}, {TAIL}) - quantile_disc({k}, 0.5)) AS {k}" for k in METRICS)
+_BOUND_SQL = ", ".join(f"least((o.n * o.{k} + {SHRINK} * u.{k}) / (o.n + {SHRINK}), {LOOSE} * u.{k}) AS {k}" for k in METRICS)
+_FAILS_SQL = " OR ".join(f"coalesce({a} > g.{k} * {b} + {NOISE} * sqrt(g.{k} * {b} + 1), false)" for k, (a, b) in METRICS.items())
 
 OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents),
@@ -170,13 +162,11 @@ s AS (
   SELECT w.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(k, 0) AS n_repeat_words
   FROM w LEFT JOIN p ON p.doc_id = w.doc_id
-), m AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in _METRICS_SQL.items())} FROM s),
-x AS (SELECT * FROM m WHERE n_words >= {MIN_WORDS}),
-f AS (SELECT lang, source, count(*) AS n, {_FENCES_SQL} FROM x GROUP BY 1, 2),
-l AS (SELECT lang, count(*) AS n, {_FENCES_SQL} FROM x GROUP BY 1),
-e AS (SELECT {_FENCES_SQL} FROM x)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_SHARE} * n_words AS base_failed,
-       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_SHARE} * n_words OR {_FAILS_SQL}) AS kept
-FROM m LEFT JOIN f ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source LEFT JOIN l ON l.lang IS NOT DISTINCT FROM m.lang, e
+), m AS (SELECT *, {_SHARES_SQL}, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_SHARE} * n_words AS base_failed FROM s),
+x AS (SELECT * FROM m WHERE NOT base_failed),
+e AS (SELECT {_FENCES_SQL} FROM x),
+l AS (SELECT lang, {_BOUND_SQL} FROM (SELECT lang, count(*) AS n, {_FENCES_SQL} FROM x GROUP BY 1) o, e u),
+g AS (SELECT o.lang, source, {_BOUND_SQL} FROM (SELECT lang, source, count(*) AS n, {_FENCES_SQL} FROM x GROUP BY 1, 2) o JOIN l u ON u.lang IS NOT DISTINCT FROM o.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {_FAILS_SQL}) AS kept
+FROM m LEFT JOIN g ON g.lang IS NOT DISTINCT FROM m.lang AND g.source IS NOT DISTINCT FROM m.source
 """

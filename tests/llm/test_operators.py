@@ -523,7 +523,7 @@ def test_quality_counts(rows):
     texts = [*ODD, "a b c a b c a b", "x\ny\nx\n \n \n", "a b # | <>", "α β γ α β γ", "\x0b\x0c"]
     got = {r["doc_id"]: r for r in quality.quality_table(documents(rows, texts)).collect()}
     for i, t in enumerate(texts):
-        q = got[i]["_q"]
+        q = got[i]
         assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"]) == brute_quality(t), i
         n = brute_quality(t)
         assert got[i]["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0])
@@ -544,6 +544,51 @@ def test_quality_on_documents_and_adaptive_fences(spark, rows):
     assert quality.quality_filter(table.withColumn("lang", F.lit(None).cast("string"))).count() == 80
 
 
+def prose(rng, n=120):
+    return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+
+def test_quality_fences_come_from_the_groups(rows):
+    import random
+
+    rng = random.Random(3)
+    signs = lambda share: " ".join(w + ("#" if rng.random() < share else "") for w in prose(rng))
+    data = [(f"a{i}", signs(0.10), "en", "code") for i in range(150)] + [(f"b{i}", signs(0.02), "en", "news") for i in range(150)]
+    data += [("code-mid", signs(0.6), "en", "code"), ("news-mid", signs(0.6), "en", "news")]
+    table = rows("doc_id string, text string, lang string, source string", data)
+    verdict = {r["doc_id"]: r["kept"] for r in quality.quality_table(table).collect()}
+    # the same share of signs is usual in one source and not in the other, by nothing but their own quantiles
+    assert verdict["code-mid"] and not verdict["news-mid"] and sum(verdict.values()) == 301
+
+
+def test_quality_metrics_reject_and_junk_does_not_lift_fences(rows):
+    import random
+
+    rng = random.Random(6)
+    clean = lambda: "\n".join(" ".join(prose(rng, 12)) for _ in range(10))
+    junk = lambda: clean().replace(" ", " ### ")
+    data = [(f"c{i}", clean(), "en", f"s{i % 5}") for i in range(500)]
+    data += [(f"m{i}", clean(), "en", "mixed") for i in range(60)] + [(f"j{i}", junk(), "en", "mixed") for i in range(40)]
+    data += [("dup", clean() + "\n" + "\n".join(f"line {k}" for k in range(12)) * 1 + ("\n" + "\n".join(f"line {k}" for k in range(12))), "en", "s0")]
+    data += [("repeat", clean() + " " + " ".join(prose(random.Random(1), 40)) + " x " + " ".join(prose(random.Random(1), 40)), "en", "s0")]
+    data += [("long words", " ".join("x" * 40 + w for w in prose(rng)), "en", "s0"), ("null", None, None, None)]
+    table = rows("doc_id string, text string, lang string, source string", data)
+    got = {r["doc_id"]: r for r in quality.quality_table(table).collect()}
+    assert not [i for i in range(40) if got[f"j{i}"]["kept"]] and all(got[f"c{i}"]["kept"] for i in range(500)) and all(got[f"m{i}"]["kept"] for i in range(60))
+    assert got["j0"]["failed_rules"] == ["symbol_share"] and got["dup"]["failed_rules"][0] == "dup_line_share"
+    assert got["repeat"]["failed_rules"] == ["repeat_share"] and got["long words"]["failed_rules"] == ["word_length"]
+    assert got["null"]["base_failed"] and not got["null"]["kept"]
+
+
+def test_quality_keeps_clashing_columns(rows):
+    names = "doc_id long, text string, lang string, source string, kept string, doc int, q int, fence string, n_words string"
+    table = rows(names, [(1, " ".join(f"w{i}" for i in range(99)), "en", "s", "mine", 1, 2, "f", "n"), (2, "", None, None, None, None, None, None, None)])
+    rated = quality.quality_table(table).collect()
+    assert {r["doc_id"]: (r["kept"], r["n_words"]) for r in rated} == {1: (True, 99), 2: (False, 0)}
+    back = quality.quality_filter(table)
+    assert back.columns == table.columns and [(r["kept"], r["doc"], r["fence"], r["n_words"]) for r in back.collect()] == [("mine", 1, "f", "n")]
+
+
 def test_pages_on_disk(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in html.op2_html_extraction(spark, SF).collect():
