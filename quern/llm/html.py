@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
@@ -13,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Stages, read_table
 
-#: A slot is template if this share of at least MIN_PAGES different pages of its host have the pivot's text in it.
-CONSTANT, MIN_PAGES = 0.9, 8
+#: A slot is template if so many of the different pages of its host, and one more, have the pivot's text in it.
+CONSTANT = 2 / 3
 #: A varying slot outside an article is a menu if this share of its characters is link text.
 LINKED = 0.7
 #: Models (about 1 KB a host) are broadcast up to this size in bytes; beyond it they are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Hosts whose picked pages (a name and a number) may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 # HTML element names and words in class, id and role that mark parts beside the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,21 +44,69 @@ NOISE_WORDS = frozenset(
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 HEADER_WORDS = frozenset(["header", "topbar"])
 MAIN_TAGS = frozenset(["article", "main"])
+#: Parts of a class that tell how an element looks and not what it is ("with-sidebar", "comments-open").
+STATE_FIRST = frozenset("with has no is without".split())
+STATE_LAST = frozenset("open closed enabled disabled on off".split())
 
 #: An open element of the key is closed by the start of any element named.
 _ITEMS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot"},
     "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
 }
+_CLOSES = {name: {x for x, ends in _ITEMS.items() if name in ends} for ends in _ITEMS.values() for name in ends}
 _SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_UNQUOTED = re.compile(r"[^\"'>]*")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
+def tags(html: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name, attributes) of each tag, comment or declaration (name empty), each character being read once or twice.
+
+    A ``<`` that no ``>`` ends, or no name follows, is text. Where quotes hide every ``>`` up to the end of the page,
+    tags end at the next one from there on.
+    """
+    at, size, strict = 0, len(html), True
+    last = html.rfind(">")
+    last_quote = {q: html.rfind(q) for q in "\"'"}
+    while True:
+        start = html.find("<", at)
+        if start < 0:
+            return
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = end + 3 if end >= 0 else size
+            yield start, at, "", ""
+            continue
+        if start > last:
+            return
+        if html[start + 1 : start + 2] in ("!", "?"):
+            at = html.find(">", start) + 1
+            yield start, at, "", ""
+            continue
+        name = _NAME.match(html, start + 1)
+        if not name:
+            at = start + 1
+            continue
+        end = name.end()
+        while strict:
+            end = _UNQUOTED.match(html, end).end()
+            if end >= size:
+                strict = False
+            elif html[end] == ">":
+                break
+            elif last_quote[html[end]] > end:
+                end = html.index(html[end], end + 1) + 1
+            else:
+                end += 1
+        if not strict:
+            end = html.find(">", name.end())
+        yield start, end + 1, name[0].lower(), html[name.end() : end]
+        at = end + 1
+
+
 class Node:
     """A slot: an element, or neighbouring elements of the same name and class."""
 
@@ -88,12 +139,14 @@ class Page:
     def _parse(self, html: str) -> None:
         # an open element: (name, slot that takes its text, is it a block)
         stack: list[tuple[str, Node, bool]] = [("#", self.root, True)]
-        links, at, end = 0, 0, len(html)
+        opened: Counter[str] = Counter()
+        links, at, skip, end = 0, 0, 0, len(html)
 
         def close(depth: int) -> None:
             nonlocal links
             while len(stack) > depth:
                 name, slot, block = stack.pop()
+                opened[name] -= 1
                 if block:
                     self._flush(slot)
                 links -= name == "a"
@@ -104,18 +157,16 @@ class Page:
                 if links:
                     self._linked += len(piece.strip())
 
-        while at < end:
-            m = _TOKEN.search(html, at)
-            if not m:
-                text(html[at:])
-                break
-            text(html[at : m.start()])
-            at = m.end()
-            name = (m[2] or "").lower()
+        for start, stop, name, inside in tags(html):
+            if start < skip:  # within a raw element
+                continue
+            text(html[at:start])
+            at = stop
             if not name:
                 continue
-            if m[1]:
-                for depth in range(len(stack) - 1, 0, -1):
+            if name[0] == "/":
+                name = name[1:]
+                for depth in range(len(stack) - 1, 0, -1) if opened[name] else ():
                     if stack[depth][0] == name:
                         close(depth)
                         break
@@ -130,13 +181,13 @@ class Page:
                 continue
             block = name in BLOCKS or name in NOISE_TAGS
             if block and name not in NOISE_TAGS - BLOCKS:
-                for depth in range(len(stack) - 1, 0, -1):  # a paragraph ends where a block begins
+                for depth in range(len(stack) - 1, 0, -1) if opened["p"] else ():  # a paragraph ends where a block begins
                     if stack[depth][0] == "p":
                         close(depth)
                         break
                     if stack[depth][2]:
                         break
-            if name in _ITEMS or name in ("tbody", "tfoot", "optgroup"):
+            if name in _CLOSES and any(opened[x] for x in _CLOSES[name]):
                 for depth in range(len(stack) - 1, 0, -1):
                     other = stack[depth][0]
                     if other in _ITEMS and name in _ITEMS[other]:
@@ -145,7 +196,7 @@ class Page:
                     if other in _SCOPES.get(name, {"table", "select"}):
                         break
             parent = stack[-1][1]
-            attributes = {a.lower(): b or c or d or "" for a, b, c, d in _ATTRIBUTE.findall(m[3])} if m[3] else {}
+            attributes = {a.lower(): b or c or d or "" for a, b, c, d in _ATTRIBUTE.findall(inside)} if inside else {}
             noise = parent.noise or self._noise(name, attributes, parent.main)
             if block or noise != parent.noise:
                 self._flush(parent)
@@ -158,19 +209,22 @@ class Page:
             else:
                 slot = parent
             if name in RAW:
-                stop = re.compile(f"</{re.escape(name)}", re.I).search(html, at)
+                ending = re.compile(f"</{re.escape(name)}", re.I).search(html, at)
                 if not slot.noise:
-                    text(html[at : stop.start() if stop else end])
+                    text(html[at : ending.start() if ending else end])
                     self._flush(slot)
-                at = stop.start() if stop else end
-                if stop:
+                at = ending.start() if ending else end
+                if ending:
                     at = html.find(">", at) + 1 or end
-            elif name not in VOID and not (m[3].endswith("/") and name not in BLOCKS):
+                skip = at
+            elif name not in VOID and not (inside.endswith("/") and name not in BLOCKS):
                 stack.append((name, slot, block))
+                opened[name] += 1
                 links += name == "a"
             elif block:
                 self._flush(slot)
-        close(0 + 1)
+        text(html[at:])
+        close(1)
         self._flush(self.root)
 
     @staticmethod
@@ -185,9 +239,13 @@ class Page:
             return True
         if attributes.get("role", "").lower() in NOISE_ROLES:
             return True
-        if name in ("html", "body"):
+        if name in ("html", "body") or (name in MAIN_TAGS and not in_main):
             return False
-        words = {w.lower() for w in _WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
+        words: set[str] = set()
+        for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+            parts = [w.lower() for w in _WORD.findall(token)]
+            if parts and not (len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST)):
+                words.update(parts)
         return bool(words & NOISE_WORDS) or (not in_main and bool(words & HEADER_WORDS))
 
 
@@ -195,86 +253,131 @@ def digest(text: str) -> str:
     return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
-def skeleton(page: Page) -> list:
-    """[sign, digests of all, first and last block, children] of every slot."""
-
-    def walk(node: Node) -> list:
-        t = [page.blocks[i][1] for i in node.blocks]
-        return [node.sign, [digest("\n".join(t)), digest(t[0]), digest(t[-1])] if t else None, [walk(c) for c in node.children]]
+def preorder(root: Node) -> tuple[list[Node], list[int]]:
+    """The slots of a tree, parents first and in page order, and the places of their parents (-1 for the root)."""
+    nodes, parents, stack = [], [], [(root, -1)]
+    while stack:
+        node, parent = stack.pop()
+        at = len(nodes)
+        nodes.append(node)
+        parents.append(parent)
+        stack.extend((c, at) for c in reversed(node.children))
+    return nodes, parents
 
-    return walk(page.root)
 
+Shape = tuple[tuple[str, int], ...]
 
-def shape(node: Node):
-    return (node.sign, tuple(map(shape, node.children)))
 
+def shape(page: Page) -> Shape:
+    """(sign, place of the parent) of every slot."""
+    nodes, parents = preorder(page.root)
+    return tuple((n.sign, p) for n, p in zip(nodes, parents))
 
-def match(a, b, place: int = 0) -> tuple[int, dict[int, int]]:
-    """Simple tree matching of shapes: (matched nodes, pairs of preorder places) of a largest top-down matching that
-    keeps the order of children."""
 
-    def size(x) -> int:
-        return 1 + sum(map(size, x[1]))
-
-    def solve(x, y, px: int, py: int) -> tuple[int, list[tuple[int, int]]]:
-        if x[0] != y[0]:
-            return 0, []
-        starts = lambda kids, p: [p + 1 + sum(size(k) for k in kids[:i]) for i in range(len(kids))]
-        sx, sy = starts(x[1], px), starts(y[1], py)
-        best = [[(0, [])] * (len(y[1]) + 1) for _ in range(len(x[1]) + 1)]
-        for i, kx in enumerate(x[1], 1):
-            for j, ky in enumerate(y[1], 1):
-                top = max(best[i - 1][j], best[i][j - 1], key=lambda t: t[0])
-                if kx[0] == ky[0]:
-                    n, pairs = solve(kx, ky, sx[i - 1], sy[j - 1])
-                    if best[i - 1][j - 1][0] + n > top[0]:
-                        top = (best[i - 1][j - 1][0] + n, best[i - 1][j - 1][1] + pairs)
-                best[i][j] = top
-        n, pairs = best[-1][-1]
-        return n + 1, [(px, py), *pairs]
-
-    n, pairs = solve(a, b, place, place)
-    return n, dict(pairs)
+def skeleton(page: Page) -> list:
+    """[sign, place of the parent, digests of all, first and last block] of every slot."""
+    out = []
+    for node, parent in zip(*preorder(page.root)):
+        t = [page.blocks[i][1] for i in node.blocks]
+        out.append([node.sign, parent, [digest("\n".join(t)), digest(t[0]), digest(t[-1])] if t else None])
+    return out
+
+
+def children(tree: Shape) -> list[list[int]]:
+    out: list[list[int]] = [[] for _ in tree]
+    for i, (_, parent) in enumerate(tree):
+        if parent >= 0:
+            out[parent].append(i)
+    return out
+
+
+def match(a: Shape, b: Shape) -> tuple[int, dict[int, int]]:
+    """Simple tree matching of shapes: (matched slots, pairs of places) of a largest top-down matching that keeps the
+    order of children. Pairs of slots wait on a stack, so depth has no limit."""
+    kids_a, kids_b = children(a), children(b)
+    worth: dict[tuple[int, int], int] = {}
+
+    def ends(x: int, y: int) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+        """The children of both but for equal leaves at the ends, which a largest matching may always pair."""
+        p, q, paired = kids_a[x], kids_b[y], []
+        same = lambda i, j: a[i][0] == b[j][0] and not kids_a[i] and not kids_b[j]
+        low, high = 0, 0
+        while low < min(len(p), len(q)) and same(p[low], q[low]):
+            paired.append((p[low], q[low]))
+            low += 1
+        while high < min(len(p), len(q)) - low and same(p[-1 - high], q[-1 - high]):
+            paired.append((p[-1 - high], q[-1 - high]))
+            high += 1
+        return p[low : len(p) - high], q[low : len(q) - high], paired
+
+    def table(p: list[int], q: list[int]) -> list[list[int]]:
+        best = [[0] * (len(q) + 1)]
+        for i in p:
+            row, above = [0], best[-1]
+            for k, j in enumerate(q):
+                n = max(above[k + 1], row[k])
+                if a[i][0] == b[j][0]:
+                    n = max(n, above[k] + worth[i, j])
+                row.append(n)
+            best.append(row)
+        return best
+
+    if not a or not b or a[0][0] != b[0][0]:
+        return 0, {}
+    stack = [(0, 0, False)]
+    while stack:
+        x, y, ready = stack.pop()
+        p, q, paired = ends(x, y)
+        if ready or not p or not q:
+            worth[x, y] = 1 + len(paired) + (table(p, q)[-1][-1] if p and q else 0)
+        else:
+            stack.append((x, y, True))
+            stack.extend((i, j, False) for i in p for j in q if a[i][0] == b[j][0])
+    pairs, todo = {}, [(0, 0)]
+    while todo:
+        x, y = todo.pop()
+        pairs[x] = y
+        p, q, paired = ends(x, y)
+        pairs.update(paired)
+        best, i, k = table(p, q) if p and q else [[0]], len(p), len(q)
+        while p and q and i and k:
+            if best[i][k] == best[i - 1][k]:
+                i -= 1
+            elif best[i][k] == best[i][k - 1]:
+                k -= 1
+            else:
+                i, k = i - 1, k - 1
+                todo.append((p[i], q[k]))
+    return worth[0, 0], pairs
 
 
 class Aligner:
     """Aligns pages with the pivots of their hosts; equal pairs of shapes are aligned once."""
 
     def __init__(self):
-        self.pivots: dict[str, tuple] = {}
-        self.known: dict[tuple, dict[int, int]] = {}
+        self.pivots: dict[str, tuple[Shape, list]] = {}
+        self.known: dict[tuple[Shape, Shape], dict[int, int]] = {}
 
-    def pivot(self, text: str) -> tuple:
+    def pivot(self, text: str) -> tuple[Shape, list]:
         if text not in self.pivots:
             if len(self.pivots) > 5000:
                 self.pivots.clear()
-            flat: list = []
-
-            def walk(node) -> tuple:
-                flat.append(node[1])
-                return (node[0], tuple([walk(c) for c in node[2]]))
-
-            self.pivots[text] = (walk(json.loads(text)), flat)
+            slots = json.loads(text)
+            self.pivots[text] = tuple((sign, parent) for sign, parent, _ in slots), [d for _, _, d in slots]
         return self.pivots[text]
 
     def __call__(self, page: Page, text: str) -> list[tuple[Node, int | None, list | None]]:
         """(slot, place of the pivot's slot, its digests) for every slot of the page."""
-        theirs, flat = self.pivot(text)
-        key = (shape(page.root), theirs)
+        theirs, digests = self.pivot(text)
+        key = (shape(page), theirs)
         if key not in self.known:
             if len(self.known) > 5000:
                 self.known.clear()
             self.known[key] = match(*key)[1]
-        pairs, out = self.known[key], []
-
-        def walk(node: Node) -> None:
-            other = pairs.get(len(out))
-            out.append((node, other, flat[other] if other is not None else None))
-            for c in node.children:
-                walk(c)
-
-        walk(page.root)
-        return out
+        pairs = self.known[key]
+        return [
+            (node, pairs.get(i), digests[pairs[i]] if i in pairs else None) for i, node in enumerate(preorder(page.root)[0])
+        ]
 
 
 PARTS = ("all", "first", "last")
@@ -313,8 +416,10 @@ def induce_wrappers(stages: Stages, pages: DataFrame) -> DataFrame:
     Copies of the pivot as a whole do not count. No group of pages is gathered anywhere.
     """
     some = pages.where("html is not null and html <> ''")
-    pick = some.groupBy("host").agg(F.min(F.xxhash64("key")).alias("pick"))
-    chosen = some.withColumn("pick", F.xxhash64("key")).join(pick, ["host", "pick"]).dropDuplicates(["host"]).select("host", "html")
+    # the pages are picked by their keys alone; html is read again for the picked ones and never dealt out
+    pick = stages.table(some.groupBy("host").agg(F.min(F.xxhash64("key")).alias("pick")))
+    picked = some.join(F.broadcast(pick) if pick.count() <= BROADCAST_ROWS else pick, (some["host"] == pick["host"]) & (F.xxhash64("key") == F.col("pick")))
+    chosen = picked.select(some["host"], "html").dropDuplicates(["host"])
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -358,13 +463,12 @@ def induce_wrappers(stages: Stages, pages: DataFrame) -> DataFrame:
         with_model(some.select("host", "html"), pivots).mapInArrow(count, "host string, place int, part int, pages long, same long, chars long, linked long")
         .groupBy("host", "place", "part").agg(*[F.sum(c).alias(c) for c in ("pages", "same", "chars", "linked")])
     )
-    enough = F.col("pages") >= MIN_PAGES
     flag = lambda part: F.concat_ws(":", "place", part)
     flags = counts.select(
         "host",
         F.explode(F.array(
-            F.when(enough & (F.col("same") >= CONSTANT * F.col("pages")), flag(F.col("part").cast("string"))),
-            F.when(enough & (F.col("part") == 0) & (F.col("linked") >= LINKED * F.col("chars")), flag(F.lit("3"))),
+            F.when(F.col("same") >= CONSTANT * (F.col("pages") + 1), flag(F.col("part").cast("string"))),
+            F.when((F.col("part") == 0) & (F.col("linked") >= LINKED * F.col("chars")), flag(F.lit("3"))),
         )).alias("flag"),
     ).where("flag is not null").groupBy("host").agg(F.collect_set("flag").alias("flags"))
     return stages.table(pivots.join(flags, "host", "left").select("host", "skeleton", F.coalesce("flags", F.array().cast("array<string>")).alias("flags")))
@@ -380,12 +484,13 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for every row of ``pages(page_id, url, html)``.
 
     Pages of a host share a wrapper (induce_wrappers): slots with constant text are template, varying slots are
-    content unless their element, class, id or role marks them as menu, header, footer, sidebar, notice, advert, form
-    or reader comments, or they are mostly links. On pages with an article or main element the content is what they
+    content unless they are mostly links, or their element, class, id or role marks them as menu, header, footer,
+    sidebar, notice, advert, form or reader comments: what changes from page to page cannot be told from the article by
+    alignment, and hosts of one or two pages have no template. On pages with an article or main element the content is what they
     hold. Blocks are trimmed, their white space is one space, character references are decoded; a br is white space.
 
     Null or empty html, and pages without content: empty text. Null url: pages without host share a wrapper. Unclosed
-    and crossing elements end with the block they began in. Repeated rows give repeated results; an empty table gives
+    and crossing elements end with the block they began in; depth and length have no limit. Repeated rows give repeated results; an empty table gives
     none; other columns are not read.
     """
     stages = Stages(pages.sparkSession, "html")
