@@ -372,18 +372,33 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return linked.unionByName(alone)
 
 
-#: Row ids that may be broadcast to take rows out (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Row keys that may be broadcast to take rows out (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near copies: one row of each component stays, the first as the table is read."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    """The rows of ``docs`` without near copies: one row of each component stays, that with the smallest hash of its columns.
+
+    Rows are known by a 64-bit hash of all their columns (maps left out), which any later reading of ``docs`` finds
+    again. Rows equal in all columns are one group too: one of them stays, if they have words. Null and empty text and
+    text without words: the row stays. Ties cannot occur. An empty table gives no rows. Columns keep their names and
+    values, whatever they are.
+    """
     stages = Stages(docs.sparkSession, "ngram_keep")
-    same = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"))
-    gone = stages.table(same.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")))
-    few = gone.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(gone) if few else gone, "_row", "left_anti").select(*docs.columns)
+    hashed = [F.col(f.name) for f in docs.schema.fields if f.dataType.typeName() != "map"]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(*hashed).alias("key"), F.col("text").cast("string").alias("words"))
+    same = jaccard_components(rows.select(F.col("key").alias("doc_id"), F.col("words").alias("text")))
+    groups = stages.table(
+        same.where("n_shingles > 0").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("n"), F.min("component_id").alias("first"))
+        .where("n > 1 or key <> first")
+    )
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    gone, twice = groups.where("key <> first").select("key"), groups.where("key = first").select("key")
+    rows = rows.select("row", "key")
+    once = rows.join(few(groups.select("key")), "key", "left_anti")
+    if twice.isEmpty():
+        return rows.join(few(gone), "key", "left_anti").select("row.*")
+    return once.select("row.*").union(rows.join(few(twice), "key", "left_semi").dropDuplicates(["key"]).select("row.*"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

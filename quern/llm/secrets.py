@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import Stages, read_table
 
@@ -22,40 +24,46 @@ OWNED = "owned"
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
 
 
-def find_spans(text: Column, kind: str, pattern: str, group: int, least: int, rank: int) -> Column:
-    """Leftmost non-overlapping matches as structs; positions are code points, from the gaps that split() leaves."""
+PIECE = "array<struct<gap:int,size:int,counted:int,value:string>>"
+
+
+def pieces(text: Column, pattern: str, group: int) -> Column:
+    """Leftmost non-overlapping matches: code points before each since the one before, its own, those that count, and its value."""
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    parts = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("g"), hits.alias("h"), counted.alias("c"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["g"])
-        end = begin + F.length(x["h"])
-        span = F.struct(
-            begin.cast("bigint").alias("start"), F.lit(rank).alias("rank"), end.cast("bigint").alias("end"),
-            F.lit(kind).alias("kind"), x["c"].alias("value"),
-        )
-        return F.struct(
-            end.cast("bigint").alias("at"),
-            F.when(F.length(x["c"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-        )
-
-    found = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
-
-
-def scan_text(text: Column) -> tuple[Column, Column]:
-    """(base spans sorted by start, then kind; candidate tokens that touch no base span)."""
-    value = F.coalesce(text, F.lit(""))
-    base = F.array_sort(F.concat(*[find_spans(value, k, *KINDS[k], rank) for rank, k in enumerate(KINDS)]))
-    tokens = F.filter(
-        find_spans(value, OWNED, TOKEN, 0, 20, len(KINDS)),
-        lambda t: t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]")
-        & (F.size(F.array_distinct(F.split(t["value"], ""))) >= TOKEN_VARIETY),
+    found = F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("g"), hits.alias("h"), counted.alias("c")), lambda x: F.struct(
+        F.length(x["g"]).alias("gap"), F.length(x["h"]).alias("size"), F.length(x["c"]).alias("counted"), x["c"].alias("value")
+    ))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(PIECE))
+
+
+def is_token(value: Column) -> Column:
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= TOKEN_VARIETY)
+
+
+def find_spans(rows: DataFrame) -> DataFrame:
+    """(_row, _span) of ``rows(_row, _p0, ...)``, a column of pieces for each kind: base spans, and tokens that touch none of them.
+
+    Places are running sums over a text's pieces, and a token is compared with the furthest end of the base spans that
+    begin before its own end: the work grows with the number of matches, not with its square.
+    """
+    kinds = [(k, least) for k, (_, _, least) in KINDS.items()] + [(OWNED, 20)]
+    found = reduce(DataFrame.union, [
+        rows.where(F.size(f"_p{rank}") > 0).select("_row", F.lit(rank).alias("rank"), F.posexplode(f"_p{rank}").alias("i", "x"))
+        for rank in range(len(kinds))
+    ])
+    before = Window.partitionBy("_row", "rank").orderBy("i")
+    named = F.element_at(F.array(*[F.lit(k) for k, _ in kinds]), F.col("rank") + 1)
+    least = F.element_at(F.array(*[F.lit(n) for _, n in kinds]), F.col("rank") + 1)
+    spans = found.withColumn("end", F.sum((F.col("x.gap") + F.col("x.size")).cast("long")).over(before)).where(F.col("x.counted") >= least)
+    spans = spans.where((F.col("rank") < len(KINDS)) | is_token(F.col("x.value"))).select(
+        "_row", F.struct((F.col("end") - F.col("x.size")).alias("start"), "rank", "end", named.alias("kind"), F.col("x.value").alias("value")).alias("_span")
     )
-    return base, tokens
+    base = F.col("_span.rank") < len(KINDS)
+    order = Window.partitionBy("_row").orderBy(F.when(base, F.col("_span.start")).otherwise(F.col("_span.end")), base)
+    reach = F.max(F.when(base, F.col("_span.end"))).over(order)
+    return spans.withColumn("_reach", reach).where(base | F.col("_reach").isNull() | (F.col("_reach") <= F.col("_span.start"))).drop("_reach")
 
 
 def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_repositories: int = 3) -> DataFrame:
@@ -72,20 +80,16 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     (value, owner, repository), so a common value is a few rows per task; the join back is on the value's hash.
     """
     stages = Stages(docs.sparkSession, "secrets")
-    base, tokens = scan_text(F.col("text"))
-    keep = [c for c in docs.columns if c != "text"]
-    scanned = docs.select(
+    keep = [c for c in docs.columns if c not in ("text", "base", "owned", "live")]
+    value = F.coalesce("text", F.lit(""))
+    patterns = [(p, g) for p, g, _ in KINDS.values()] + [(TOKEN, 0)]
+    scanned = stages.table(docs.select(
         F.struct(*keep).alias("_doc"), F.struct(F.col(owner)).alias("_owner"), F.struct(F.col(repository)).alias("_repo"),
-        base.alias("_base"), tokens.alias("_tokens"),
-    ).withColumn(
-        "_tokens",
-        F.filter("_tokens", lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))),
-    )
-    scanned = stages.table(scanned.withColumn("_row", F.monotonically_increasing_id()))
+        F.monotonically_increasing_id().alias("_row"), *[pieces(value, p, g).alias(f"_p{i}") for i, (p, g) in enumerate(patterns)],
+    ))
+    found = stages.table(find_spans(scanned.select("_row", *[f"_p{i}" for i in range(len(patterns))])))
     hashed = (
-        scanned.where((F.size("_base") > 0) | (F.size("_tokens") > 0))
-        .select("_row", "_owner", "_repo", F.explode(F.concat("_base", "_tokens")).alias("_span"))
-        .withColumn("_h", F.sha2(F.col("_span.value"), 256))
+        found.join(scanned.select("_row", "_owner", "_repo"), "_row").withColumn("_h", F.sha2(F.col("_span.value"), 256))
     )
     owners = (
         hashed.groupBy("_h", "_owner", "_repo").agg(F.lit(1).alias("x"))
@@ -94,15 +98,16 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
         .where((F.col("owners") == 1) & (F.col("repos") <= max_repositories))
         .select("_h")
     )
-    live = (
-        hashed.select("_row", "_h", "_span").join(owners, "_h")
-        .groupBy("_row").agg(F.array_sort(F.collect_list("_span")).alias("_live"))
+    marked = hashed.join(owners.withColumn("_alone", F.lit(True)), "_h", "left").where((F.col("_span.rank") < len(KINDS)) | F.col("_alone"))
+    grouped = marked.groupBy("_row").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_span.rank") < len(KINDS), F.col("_span")))).alias("base"),
+        F.array_sort(F.collect_list(F.when(F.col("_span.rank") >= len(KINDS), F.col("_span")))).alias("owned"),
+        F.sort_array(F.collect_list(F.when((F.col("_span.rank") < len(KINDS)) & F.col("_alone"), F.col("_span")))).alias("alone"),
     )
-    spans = F.coalesce("_live", F.array().cast(SPAN))
-    return scanned.join(live, "_row", "left").select(
-        "_doc.*", F.col("_base").alias("base"),
-        F.filter(spans, lambda s: s["kind"] == OWNED).alias("owned"),
-        F.transform(F.filter(spans, lambda s: s["kind"] != OWNED), lambda s: s["value"]).alias("live"),
+    none = F.array().cast(SPAN)
+    return scanned.select("_row", "_doc").join(grouped, "_row", "left").select(
+        "_doc.*", F.coalesce("base", none).alias("base"), F.coalesce("owned", none).alias("owned"),
+        F.transform(F.coalesce("alone", none), lambda s: s["value"]).alias("live"),
     )
 
 

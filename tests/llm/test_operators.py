@@ -430,11 +430,11 @@ def test_secret_spans(spark, rows):
         f"use {key} here", f"use {'Example' + key} there", "api_key=" + "deadbeef" * 4, "TOKEN:" + "x" * 50_000,
     ]
     df = documents(rows, texts).unionByName(rows(DOCS, [(50, f"a {'Example' + key}", "en", "other", 0, 7, "b", "h"), (51, None, None, None, 0, 7, "b", "h")]))
-    got = {r["doc_id"]: r for r in secrets.scan_secrets(df.drop("base")).collect()}
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(df).collect()}
     for i, t in enumerate(texts):
         assert [(s["kind"], s["start"], s["end"]) for s in got[i]["base"]] == base_spans(t or ""), i
     assert [(s["start"], s["end"]) for s in got[5]["owned"]] == [(4, 4 + len(key))] and got[6]["owned"] == [] == got[50]["owned"]
-    assert secrets.scan_secrets(documents(rows, []).drop("base")).count() == 0
+    assert secrets.scan_secrets(documents(rows, [])).count() == 0
 
 
 def test_secrets_on_documents(spark):
@@ -582,6 +582,29 @@ def test_mixing_reports_targets_that_cannot_be_met(spark, rows):
         mixing.mix_rates(docs, rows("doc_id long, domain string", []), mixing.WEIGHTS, "high").count()
 
 
+def test_secret_scan_of_many_matches_and_clashing_columns(rows):
+    many = " ".join(f"token={i:06d}x Zk{i}x9Qw-71mNopRtUvB{i % 7}" for i in range(20_000))
+    names = "doc_id long, text string, source string, base string, owned string, live string, _row int, _h int, _owner string"
+    table = rows(names, [(1, many, "a", "x", "y", "z", 1, 2, "o"), (1, many, "a", "x", "y", "z", 1, 2, "o"), (None, None, None, None, None, None, None, None, None)])
+    got = secrets.scan_secrets(table).collect()
+    assert sorted(got[0].asDict()) == sorted(["doc_id", "source", "base", "owned", "live", "_row", "_h", "_owner"])
+    for r in got:
+        text = many if r["doc_id"] else ""
+        assert [(s["kind"], s["start"], s["end"]) for s in r["base"]] == base_spans(text)
+        assert [(s["start"], s["end"]) for s in r["owned"]] == [m.span() for m in re.finditer(r"Zk[A-Za-z0-9_-]{18,}", text) if len(set(m[0])) >= 10]
+
+
+def test_keep_one_keeps_clashing_columns(rows):
+    names = "doc_id long, text string, _row long, key string, row int, set_id string, words string, component_id int"
+    a, b = PROSE[0], PROSE[1]
+    data = [(1, a, 5, "k", 1, "s", "w", 2), (1, a, 5, "k", 1, "s", "w", 2), (2, a + " tail", 6, "k", 1, "s", "w", 2), (3, b, 7, "k", 1, "s", "w", 2),
+            (4, None, 8, None, None, None, None, None), (4, None, 8, None, None, None, None, None)]
+    got = ngram_join.keep_one(rows(names, data))
+    assert got.columns == rows(names, data).columns
+    kept = sorted(map(tuple, got.collect()), key=lambda r: r[2])
+    assert [r[2] for r in kept] in ([5, 7, 8, 8], [6, 7, 8, 8]) and set(kept) <= set(data)
+
+
 def brute_quality(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
