@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 #: Characters between words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -59,6 +59,12 @@ class Stages:
             path.getFileSystem(conf).delete(path, True)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """128 bits that any reading of ``docs`` finds again for a row: two hashes of its columns (maps left out)."""
+    cols = [F.col(f.name) for f in docs.schema.fields if f.dataType.typeName() != "map"]
+    return F.struct(F.xxhash64(*cols).alias("h"), F.xxhash64(F.lit(1), *cols).alias("g"))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

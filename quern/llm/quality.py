@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import SPACES, WORD_GAP, Stages, read_table
+from .common import SPACES, WORD_GAP, Stages, read_table, row_key
 
 MIN_WORDS = 50
 REPEAT_SHARE = 50
@@ -136,9 +136,17 @@ def quality_table(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns and values; odd rows as in quality_table."""
-    whole = docs.select(F.struct(*docs.columns).alias("all"), "text", "lang", "source")
-    return quality_table(whole).where("kept").select("all.*")
+    """The documents that pass, with their own columns and values; odd rows as in quality_table.
+
+    Rows are known by row_key, so that no text is staged: rows with equal keys have equal verdicts.
+    """
+    key = row_key(docs)
+    whole = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"), "lang", "source")
+    stages = Stages(docs.sparkSession, "quality_filter")
+    gone = stages.table(quality_table(whole).where(~F.col("kept")).select("key").distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    rows = docs.select(F.struct(*docs.columns).alias("all"), key.alias("key"))
+    return rows.join(gone, "key", "left_anti").select("all.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
