@@ -28,6 +28,30 @@ def test_chunks_keep_headings_and_fences():
         chunking.chunk_text("x", 10, 5)
 
 
+def test_chunks_of_fences_tables_and_branches():
+    # sections are merged while they fit, and keep the headings that they do not share
+    text = "# A\n\none\n\n## B\n\ntwo\n\n## C {#c}\n\nthree\n"
+    (only,) = chunking.chunk_text(text)
+    assert only["heading_path"] == ["A"] and only["text"] == "one\n\nB\n\ntwo\n\nC\n\nthree"
+    # neither headings nor blank lines within a fence cut it, and it counts little while chunks are filled
+    fence = "```sql\n# not a heading\n\n" + "select 1;\n" * 400 + "```"
+    (one,) = chunking.chunk_text(f"# A\n\nbefore\n\n{fence}\n\nafter", 50, 60)
+    assert one["text"] == f"before\n\n{fence}\n\nafter" and chunking.exceedance_reason(one["text"], 60) == "protected_fence"
+    table = "| a | b |\n|---|---|\n" + "| word word | word |\n" * 200
+    (two,) = chunking.chunk_text(f"# A\n\n{table}\n{fence}", 50, 60)
+    assert chunking.exceedance_reason(two["text"], 60) == "protected_fence_and_table" and "| word word | word |" in two["text"]
+    # an open fence is text; a single row is no table
+    assert len(chunking.chunk_text("# A\n\n```\nopen\n\n# B\n\nx")) == 1 and chunking.sections("# A\n```\n# B\nx")[-1] == (("B",), "x")
+    assert chunking.exceedance_reason("| a | " + "word " * 500 + "|", 100) == "indivisible_paragraph"
+    # a large section is split at paragraphs and shares no chunk; a paragraph over the target stands alone
+    words = "word " * 100
+    parts = chunking.chunk_text(f"# A\n\nsmall\n\n# B\n\n{words}\n\n{words}\n\n{words * 5}\n\ntail\n\n# C\n\nend", 300, 400)
+    assert [p["heading_path"] for p in parts] == [["A"], ["B"], ["B"], ["B"], ["C"]] and parts[3]["text"] == "tail"
+    assert parts[1]["text"].count("\n\n") == 1 and [p["ordinal"] for p in parts] == [0, 1, 2, 3, 4]
+    assert chunking.front_matter("---\nnot closed") == ({}, "---\nnot closed") and chunking.front_matter("---\n---\nx") == ({}, "x")
+    assert chunking.clean_markup("[![alt](i.png)](u) {{{ .x }}}") == "alt x" and chunking.clean_markup("[a](b) {{{.x}}}", False) == "[a](b) x"
+
+
 def test_plan_and_delta(rows):
     content = DOC.encode()
     sha = hashlib.sha1(b"blob %d\0" % len(content) + content).hexdigest()
