@@ -28,11 +28,6 @@ def prefix_normalised(v: Column, width: int | None = None) -> Column:
     return bind(checked, scaled)
 
 
-def unit(v: Column) -> Column:
-    """The vector in doubles and its norm."""
-    return F.transform(v, lambda x: x.cast("double"))
-
-
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, include_self: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank) by cosine of ``vectors(doc_id, v)`` and ``queries(query_id, v)``; exact.
 

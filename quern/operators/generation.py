@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ def _grams(tokens: Column, n: int) -> Column:
 
 
 def clipped_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays; linear in sorted distinct items."""
+    """Size of the multiset intersection of two arrays of a short text's tokens; quadratic in the different ones."""
     count = lambda x, g: F.size(F.filter(x, lambda y: y == g))
     return bind(F.struct(a.alias("a"), b.alias("b")), lambda s: F.aggregate(
         F.array_intersect(s["a"], s["b"]), F.lit(0), lambda acc, g: acc + F.least(count(s["a"], g), count(s["b"], g))
@@ -98,14 +99,13 @@ def sentinel_class(answer: str | None, sentinel: str = SENTINEL) -> str:
         return "none"
     if answer == sentinel:
         return "exact"
-    text, before = "".join(unicodedata.normalize("NFKC", answer).split()), None
-    while text and text != before:
-        before, text = text, text.rstrip(TERMINAL)
-        for left, right in QUOTES:
-            if text.startswith(left) and text.endswith(right):
-                text = text[len(left) : len(text) - len(right)]
-                break
-    return "normalized" if text == sentinel else "near" if sentinel in text else "none"
+    text = "".join(unicodedata.normalize("NFKC", answer).split())
+    opening, closing = ("".join(side) for side in zip(*QUOTES))
+    around = re.fullmatch(f"([{re.escape(opening)}]*){re.escape(sentinel)}([{re.escape(closing + TERMINAL)}]*)", text)
+    # quotes must close in the order in which they opened; terminal punctuation may stand anywhere between
+    if around and around[1].translate(str.maketrans(opening, closing))[::-1] == "".join(c for c in around[2] if c not in TERMINAL):
+        return "normalized"
+    return "near" if sentinel in text else "none"
 
 
 def classify_answers(rows: DataFrame, sentinel: str = SENTINEL) -> DataFrame:

@@ -77,21 +77,25 @@ def complete_pairs(queries: DataFrame) -> DataFrame:
 def near_questions(rows: DataFrame, grams: Column, ident: str, threshold: float) -> DataFrame:
     """(earlier, later, similarity): pairs with Jaccard similarity >= threshold, proposed by prefix filtering.
 
-    Grams are ordered rare first; two sets over the threshold share one of the first n - ceil(threshold * n) + 1.
+    A set is the 64-bit hashes of its grams, rare first. Two sets over the threshold share one of the first
+    n - ceil(threshold * n) + 1, have sizes within the threshold, and enough grams behind the shared one (positional
+    filter): all is known where prefixes meet, before pairs are made. A pair's sets are intersected once.
     """
-    sets = rows.select(F.col(ident).alias("id"), F.array_distinct(grams).alias("g")).where(F.size("g") > 0)
-    gram = sets.select("id", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    df = gram.groupBy("gram").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("id").orderBy("df", "gram")
-    prefix = gram.join(df, "gram").withColumn("at", F.row_number().over(w)).where(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
-    a, b = prefix.select("gram", F.col("id").alias("earlier"), F.col("n").alias("na")), prefix.select("gram", F.col("id").alias("later"), F.col("n").alias("nb"))
-    pairs = (
-        a.join(b, "gram").where((F.col("earlier") < F.col("later")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")))
-        .select("earlier", "later").distinct()
-    )
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("g").alias(f"g_{x}"))
-    sim = F.size(F.array_intersect("g_earlier", "g_later")) / F.size(F.array_union("g_earlier", "g_later"))
-    return pairs.join(side("earlier"), "earlier").join(side("later"), "later").select("earlier", "later", sim.alias("similarity")).where(F.col("similarity") >= threshold)
+    gram = rows.select(F.col(ident).alias("id"), F.explode(F.array_distinct(grams)).alias("gram")).select("id", F.xxhash64("gram").alias("h"))
+    df = gram.groupBy("h").agg(F.count("*").alias("df"))
+    ordered = gram.join(df, "h").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("s"))
+    sets = ordered.select("id", F.size("s").alias("n"), F.col("s.h").alias("g"))
+    prefix = sets.select("id", "n", F.posexplode(F.slice("g", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).cast("int"))).alias("at", "h"))
+    a, b = (prefix.select("h", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), (F.col("n") - F.col("at")).alias(f"rest_{x}")) for x in ("earlier", "later"))
+    both = F.col("n_earlier") + F.col("n_later")
+    pairs = a.join(b, "h").where(
+        (F.col("earlier") < F.col("later")) & (F.least("n_earlier", "n_later") >= F.lit(threshold) * F.greatest("n_earlier", "n_later"))
+        & (F.least("rest_earlier", "rest_later") * (1 + threshold) >= both * threshold - 1e-9)
+    ).select("earlier", "later").distinct()
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("g").alias(f"g_{x}"))
+    joined = pairs.join(side("earlier"), "earlier").join(side("later"), "later")
+    counted = joined.select("earlier", "later", both.alias("n"), F.size(F.array_intersect("g_earlier", "g_later")).alias("c"))
+    return counted.select("earlier", "later", (F.col("c") / (F.col("n") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def greedy_survivors(pairs: list[tuple], idents: list) -> tuple[list, list[tuple]]:

@@ -135,10 +135,6 @@ def junit_totals(xml: str) -> dict[str, int]:
     return {k: sum(int(s.attrib[k]) for s in suites) for k in ("tests", "failures", "errors", "skipped")}
 
 
-def finite(column: Column) -> Column:
-    return column.isNotNull() & ~F.isnan(column)
-
-
 def harvest_documents(raw: DataFrame, fields: list[str], least: int = 200) -> DataFrame:
     """(doc_id, text): bodies of the allowed fields, stripped, of ``least`` characters, once per content."""
     from quern.functions.text import document_id, strip
