@@ -6,7 +6,14 @@ partitioned. Ties go to the smaller id. Queries are sets of terms, documents mul
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+from decimal import Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions.text import char_ngrams
 
@@ -69,14 +76,83 @@ def top_k(scored: DataFrame, k: int, partition: str = "query_id", ident: str = "
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Documents scored at once against all queries, and queries whose scores are held at once.
+SCORE_ROWS, SCORE_QUERIES = 256, 4096
+#: Weights are whole numbers of 1 / UNIT while they are summed: sums below 2**53 are exact in any order.
+UNIT = 10**10
+
+
+class TopScores:
+    """The k best documents of every query among those added, by (score desc, id asc)."""
+
+    def __init__(self, k: int, n_queries: int):
+        self.k = k
+        self.best: list[list[tuple[float, object]]] = [[] for _ in range(n_queries)]
+
+    def add(self, ids: list, scores: np.ndarray, first: int) -> None:
+        """``scores`` [document, query] of queries from number ``first`` on; only positive ones count."""
+        for j in range(scores.shape[1]):
+            column, best = scores[:, j], self.best[first + j]
+            at = np.flatnonzero(column >= (best[-1][0] if len(best) == self.k else 1))
+            if len(at) > self.k:
+                at = at[column[at] >= np.partition(column[at], -self.k)[-self.k]]
+            if len(at):
+                best += [(column[i], ids[i]) for i in at]
+                best.sort(key=lambda x: (-x[0], x[1]))
+                del best[self.k :]
+
+
 def sparse_search(vectors: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score, rank) by inner product of document weights and binary queries."""
-    side = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    scored = (
-        vectors.join(side, "term").groupBy("query_id", "doc_id")
-        .agg(F.sum(F.col("weight").cast(EXACT)).alias("score"))
-    )
-    return top_k(scored, k)
+    """(query_id, doc_id, score, rank) by inner product of document weights and binary queries.
+
+    Up to BROADCAST_TERMS query terms go to every task, where a document's terms are added up for all queries at once
+    and the best k a query are kept; only those are shuffled. With more terms, weights and terms are joined by a shuffle.
+    """
+    whole = F.round(F.col("weight").cast(EXACT) * UNIT).cast("long")
+    score = lambda c: (F.col(c).cast("decimal(18,0)") * F.lit(Decimal(1) / UNIT)).cast("decimal(28,10)").alias("score")
+    if terms.count() > BROADCAST_TERMS:
+        summed = vectors.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(whole).alias("s"))
+        return top_k(summed.select("query_id", "doc_id", score("s")), k)
+    wanted = defaultdict(list)
+    for r in terms.select("query_id", "term").distinct().orderBy("query_id").collect():
+        wanted[r["term"]].append(r["query_id"])
+    queries = sorted({q for found in wanted.values() for q in found})
+    place = {q: i for i, q in enumerate(queries)}
+    lists = {t: np.array([place[q] for q in found], np.int64) for t, found in wanted.items()}
+    kinds = {f.name: f.dataType.simpleString() for f in (terms.schema["query_id"], vectors.schema["doc_id"])}
+    types = [to_arrow_type(terms.schema["query_id"].dataType), to_arrow_type(vectors.schema["doc_id"].dataType), pa.int64()]
+    few = vectors.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    rows = few.groupBy("doc_id").agg(F.collect_list(F.struct("term", whole.alias("w"))).alias("t")).select("doc_id", "t.term", "t.w")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, held_ids, held = TopScores(k, len(queries)), [], []
+
+        def score_held() -> None:
+            for first in range(0, len(queries), SCORE_QUERIES):
+                n = min(SCORE_QUERIES, len(queries) - first)
+                table = np.zeros((len(held), n))
+                for row, (at, weights) in zip(table, held):
+                    inside = (at >= first) & (at < first + n) if n < len(queries) else slice(None)
+                    row += np.bincount(at[inside] - first, weights[inside], n)
+                top.add(held_ids, table, first)
+            held_ids.clear()
+            held.clear()
+
+        for batch in batches:
+            for doc, words, weights in zip(*(c.to_pylist() for c in batch.columns)):
+                found = [lists[x] for x in words]
+                held_ids.append(doc)
+                held.append((np.concatenate(found), np.repeat(np.array(weights, float), [len(x) for x in found])))
+                if len(held) == SCORE_ROWS:
+                    score_held()
+        score_held()
+        out = [(q, doc, int(s)) for q, best in zip(queries, top.best) for s, doc in best]
+        if out:
+            q, doc, s = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((q, doc, s), types)], ["query_id", "doc_id", "s"])
+
+    scored = rows.mapInArrow(run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, s long")
+    return top_k(scored.select("query_id", "doc_id", score("s")), k)
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, analyzer=None) -> DataFrame:
