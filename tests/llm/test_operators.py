@@ -692,6 +692,57 @@ def test_pages_on_disk(spark):
         assert r["text"] == "\n".join(filter(None, blocks)) and r["n_chars"] == len(r["text"])
 
 
+def test_chat_query_on_conversations(spark):
+    turns = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        turns[r["conv_id"]].append((r["turn"], r["role"] or "", r["text"] or ""))
+    turns[-7] = [(0, "user", chat.PROBE), (1, "assistant", chat.PROBE)]
+    got = {r["conv_id"]: r for r in chat.op4_chat_format(spark, SF).collect()}
+    assert got.keys() == turns.keys() and -7 in got
+    for i, rows_ in turns.items():
+        ordered = [(role, text) for _, role, text in sorted(rows_)]
+        loss = "".join(text for role, text in ordered if role == "assistant")
+        assert got[i]["n_turns"] == len(ordered) and got[i]["loss_chars"] == len(loss)
+        assert got[i]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in ordered).encode()).hexdigest()
+        assert got[i]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_chat_odd_input(rows):
+    names = "conv_id long, turn long, role string, text string, turns string, formatted int"
+    assert chat.format_conversations(rows(names, [])).count() == 0
+    long = "word " * 100_000
+    got = chat.digest(chat.format_conversations(rows(names, [(1, 0, None, None, "t", 1), (1, 1, "assistant", long, "t", 1), (None, 0, "assistant", "x", "t", 1)]))).collect()
+    assert {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in got} == {1: (2, len(long)), None: (1, 1)}
+
+
+def test_packing_query_on_documents(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = {i: plain.encode(t, add_special_tokens=False).ids + [0] for i, t in texts.items()}
+    pieces, fill = defaultdict(list), defaultdict(list)
+    for r in packing.op5_packing(spark, SF).collect():
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        fill[r["sequence_id"]].append((r["offset"], r["length"]))
+        want = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()
+        assert r["ids_crc32"] == zlib.crc32(want) and r["doc_tokens"] == len(ids[r["doc_id"]]) and r["length"] > 0
+    for i, found in pieces.items():
+        at = 0
+        for start, length in sorted(found):
+            assert start == at
+            at += length
+        assert at == len(ids[i])
+    assert pieces.keys() == ids.keys()
+    for found in fill.values():
+        at = 0
+        for offset, length in sorted(found):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
 def test_topk_sql(spark):
     import duckdb
 
