@@ -34,6 +34,19 @@ def test_components(spark, rows):
     assert components(Stages(spark, "t"), rows("a long, b long", [])).count() == 0
 
 
+def test_staged_tables_need_a_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    from quern.llm.common import shared_dir
+
+    session = lambda conf, given, master: Fake(conf=Fake(get=lambda key, other: conf or other), sparkContext=Fake(getCheckpointDir=lambda: given, master=master))
+    assert shared_dir(session("hdfs:///a", None, "yarn")) == "hdfs:///a" and shared_dir(session(None, "hdfs:///b", "yarn")) == "hdfs:///b"
+    assert shared_dir(session(None, None, "local[8]")).endswith("checkpoints") and shared_dir(session(None, None, "local")).endswith("checkpoints")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session(None, None, master))
+
+
 def test_topk_matches_brute_force(spark, rows):
     rng = np.random.default_rng(0)
     data = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
