@@ -37,20 +37,11 @@ def char_ngrams(text: Column, n: int) -> Column:
     """Character n-grams without white space; a shorter text is its own gram, an empty or null one has none."""
     if n < 1:
         raise ValueError(f"n must be positive, got {n}")
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), WHITESPACE, "")
-
-    def grams(c: Column) -> Column:
-        last = F.size(c) - (n - 1)
-        joined = F.slice(c, F.lit(1), last)
-        for k in range(1, n):
-            joined = F.zip_with(joined, F.slice(c, F.lit(k + 1), last), lambda a, b: F.concat(a, b))
-        return F.when(F.size(c) == 0, F.array().cast("array<string>")).when(
-            F.size(c) < n, F.array(F.array_join(c, ""))
-        ).otherwise(joined)
-
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"{WHITESPACE}+", "")
     if n == 1:
         return chars(bare)
-    return bind(chars(bare), lambda c: F.when(F.size(c) < n, F.when(F.size(c) == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(c, "")))).otherwise(grams(c)))
+    # one code point is consumed at a time and looks ahead at its gram, or from the start at a whole shorter text
+    return F.regexp_extract_all(bare, F.lit(rf"(?s)(?=(.{{{n}}}|\A.{{1,{n - 1}}}\z))."), F.lit(1))
 
 
 def union_grams(text: Column, *analyzers) -> Column:

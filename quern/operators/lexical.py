@@ -23,16 +23,23 @@ EXACT = "decimal(18,10)"
 BROADCAST_TERMS = 500_000
 
 
+def cut(docs: DataFrame, analyzer=None) -> DataFrame:
+    """(doc_id, g): the grams of ``docs(doc_id, text)``, dealt by doc_id.
+
+    The text is shuffled once, which is less than its grams; whatever groups or joins by doc_id stays in its task.
+    """
+    grams = (analyzer or (lambda c: char_ngrams(c, 2)))(F.col("text"))
+    return docs.select("doc_id", "text").repartition("doc_id").select("doc_id", grams.alias("g"))
+
+
 def postings(docs: DataFrame, analyzer=None) -> DataFrame:
     """(doc_id, term, tf) of ``docs(doc_id, text)``."""
-    grams = (analyzer or (lambda c: char_ngrams(c, 2)))(F.col("text"))
-    return docs.select("doc_id", F.explode(grams).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return cut(docs, analyzer).select("doc_id", F.explode("g").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def lengths(docs: DataFrame, analyzer=None) -> DataFrame:
-    """(doc_id, dl): terms of each document, 0 where it has none. No shuffle beyond repeated ids."""
-    grams = (analyzer or (lambda c: char_ngrams(c, 2)))(F.col("text"))
-    return docs.groupBy("doc_id").agg(F.sum(F.size(grams)).cast("long").alias("dl"))
+    """(doc_id, dl): terms of each document, 0 where it has none."""
+    return cut(docs, analyzer).groupBy("doc_id").agg(F.sum(F.size("g")).cast("long").alias("dl"))
 
 
 def statistics(dl: DataFrame) -> DataFrame:
@@ -165,8 +172,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1,
     few = terms.count() <= BROADCAST_TERMS
     wanted = terms.select("term").distinct()
     side = F.broadcast if few else (lambda x: x)
-    grams = (analyzer or (lambda c: char_ngrams(c, 2)))(F.col("text"))
-    base = docs.select("doc_id", grams.alias("g"))
+    base = cut(docs, analyzer)
     dl = base.groupBy("doc_id").agg(F.sum(F.size("g")).cast("long").alias("dl"))
     posts = (
         base.select("doc_id", F.explode("g").alias("term")).join(side(wanted), "term", "left_semi")

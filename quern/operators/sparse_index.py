@@ -10,10 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from quern.functions.text import char_ngrams
-
 from .ingest import require
-from .lexical import B, EXACT, K1, idf, lengths, postings, query_terms, statistics, vocabulary, weight
+from .lexical import B, EXACT, K1, cut, idf, lengths, postings, query_terms, statistics, vocabulary, weight
 
 SCHEMA = "quern-sparse-index-v1"
 
@@ -77,9 +75,8 @@ def encode_documents(index: SparseIndex, docs: DataFrame, analyzer=None) -> Data
 
     A document's length counts all its terms, known or not. Documents without known terms have no rows.
     """
-    grams = (analyzer or (lambda c: char_ngrams(c, 2)))(F.col("text"))
-    cut = docs.select("doc_id", grams.alias("g")).select("doc_id", F.size("g").alias("dl"), F.explode("g").alias("term"))
-    counted = cut.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    terms = cut(docs, analyzer).select("doc_id", F.size("g").alias("dl"), F.explode("g").alias("term"))
+    counted = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     rows = counted.join(index.terms.select("term", "term_index", "idf"), "term").crossJoin(F.broadcast(index.stats.select("avgdl", "k1", "b")))  # one row
     value = F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("k1"), F.col("b"))
     return rows.select("doc_id", "term_index", value.alias("weight"))
