@@ -113,3 +113,22 @@ def derived_seed(schema: str, seed: str, *names: Column) -> Column:
 def list_fingerprint(schema: str, items: Column) -> Column:
     """Digest of an ordered array of strings: a digest over the framed digests of its items."""
     return F.sha2(F.concat(framed(F.lit(schema)), F.encode(F.array_join(F.transform(items, lambda x: F.sha2(x, 256)), ""), "UTF-8")), 256)
+
+
+def model_names_match(requested: Column, served: Column) -> Column:
+    """Equal but for the case of ASCII letters; an empty or missing name matches nothing."""
+    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.coalesce((F.length(requested) > 0) & (lower(requested) == lower(served)), F.lit(False))
+
+
+def safe_source_url(value: Column) -> Column:
+    """The value if it is an http or https address with a host and without user, else null; white space, control
+    characters, backslashes and more than 4,000 characters are refused."""
+    fine = (F.length(value) <= 4000) & ~value.rlike(r"[\x00-\x20\\]") & value.rlike(r"(?i)^https?://[^/?#@:][^/?#@]*([/?#]|$)")
+    return F.when(fine, value)
+
+
+def rerank_tokens(query: Column, documents: Column, head: str, tail: str) -> Column:
+    """Estimated tokens of an array of documents, each within the scaffold ``head + query + document + tail``."""
+    whole = lambda d: estimate_tokens(F.concat(F.lit(head), query, d, F.lit(tail)))
+    return F.aggregate(documents, F.lit(0).cast("long"), lambda s, d: s + whole(d).cast("long"))

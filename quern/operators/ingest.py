@@ -92,6 +92,17 @@ def document_delta(planned: DataFrame, previous: DataFrame, manifest_keys: DataF
     return both.select("key", kind.alias("delta"))
 
 
+def every_scoped_planned(manifest: DataFrame, planned: DataFrame, scope: Column) -> DataFrame:
+    """The planned rows; an error naming up to three keys if the scope selects a manifest document that has no plan,
+    because a delta of a partial plan would delete what the manifest still lists. Runs a job at once: a check within
+    the plan would go with the rows that an outer join drops."""
+    wanted = manifest.where(scope).select(source_key(F.col("collection"), F.col("path")).alias("key"))
+    missing = [r["key"] for r in wanted.join(planned, "key", "left_anti").limit(3).collect()]
+    if missing:
+        raise ValueError(f"documents in scope were not planned: {', '.join(sorted(missing))}")
+    return planned
+
+
 def delta_counts(delta: DataFrame) -> DataFrame:
     return delta.agg(*[F.count_if(F.col("delta") == d).alias(d) for d in DELTAS])
 

@@ -140,3 +140,44 @@ def benchmark_report(samples: DataFrame, wall_seconds: float) -> DataFrame:
         F.expr("try_divide(requests - succeeded, requests)").alias("error_rate"),
         F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"),
     )
+
+
+CLAIMABLE = ("queued", "resuming")
+
+
+def claim(runs: DataFrame, claims: DataFrame, now: float, lease: float) -> DataFrame:
+    """``runs(run_id, status, owner, epoch, lease_until, charged_at, profile, snapshot)`` after ``claims(run_id, owner,
+    profile, snapshot)``, at most one a run; expired leases are recovered before.
+
+    A free run that waits goes to its claimant under the next epoch. A claim under another profile or snapshot makes it
+    unrecoverable; a run that is held or does not wait stays as it is.
+    """
+    asked = claims.select("run_id", F.col("owner").alias("_o"), F.col("profile").alias("_p"), F.col("snapshot").alias("_s"))
+    rows = runs.join(asked, "run_id", "left")
+    free = F.col("_o").isNotNull() & F.col("status").isin(*CLAIMABLE) & F.col("owner").isNull()
+    same = F.col("profile").eqNullSafe(F.col("_p")) & F.col("snapshot").eqNullSafe(F.col("_s"))
+    took = rows.withColumn("_free", F.coalesce(free, F.lit(False))).withColumn("_took", F.col("_free") & same)
+    pick = lambda value, name: F.when(F.col("_took"), value).otherwise(F.col(name)).alias(name)
+    status = F.when(F.col("_took"), "running").when(F.col("_free"), "unrecoverable").otherwise(F.col("status"))
+    return took.select(
+        "run_id", status.alias("status"), pick(F.col("_o"), "owner"), pick(F.col("epoch") + 1, "epoch"),
+        pick(F.lit(now + lease), "lease_until"), pick(F.lit(now), "charged_at"), "profile", "snapshot",
+    )
+
+
+def heartbeat(runs: DataFrame, beats: DataFrame, now: float, lease: float) -> DataFrame:
+    """``runs(run_id, status, owner, epoch, lease_until, charged_at, active_seconds)`` after ``beats(run_id, owner,
+    epoch)``, at most one a run: time since the last charge is added, never negative, and the lease is prolonged. The
+    job fails on a beat of anyone but the current owner and epoch before the lease ends."""
+    from quern.operators.ingest import require
+
+    rows = runs.join(beats.select("run_id", F.col("owner").alias("_o"), F.col("epoch").alias("_e")), "run_id", "left")
+    mine = (F.col("owner") == F.col("_o")) & (F.col("epoch") == F.col("_e")) & (F.col("lease_until") > now)
+    rows = require(rows, F.col("_o").isNull() | F.coalesce(mine, F.lit(False)), "the lease is lost")
+    beat = F.col("_o").isNotNull()
+    spent = F.greatest(F.lit(0.0), F.lit(now) - F.col("charged_at"))
+    pick = lambda value, name: F.when(beat, value).otherwise(F.col(name)).alias(name)
+    return rows.select(
+        "run_id", "status", "owner", "epoch", pick(F.lit(now + lease), "lease_until"), pick(F.lit(now), "charged_at"),
+        pick(F.col("active_seconds") + spent, "active_seconds"),
+    )
