@@ -8,6 +8,7 @@ from .chat import op4_chat_format
 from .html import op2_html_extraction
 from .langid import op8_language_id
 from .line_dedup import op6_line_dedup
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .mixing import op9_source_mixing
 from .ngram_join import OP3_SQL, op3_ngram_join
 from .packing import op5_packing
@@ -18,11 +19,12 @@ from .topk import OP1_SQL, op1_exact_topk
 QUERIES = {
     f.__name__: f for f in (
         op1_exact_topk, op2_html_extraction, op3_ngram_join, op4_chat_format, op5_packing, op6_line_dedup, op7_secret_scan,
-        op8_language_id, op9_source_mixing, op10_quality_rules,
+        op8_language_id, op9_source_mixing, op10_quality_rules, op12_merkle_manifest,
     )
 } | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {
     "op1_exact_topk": OP1_SQL, "op3_ngram_join": OP3_SQL, "op7_secret_scan": OP7_SQL, "op10_quality_rules": OP10_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
 
 
