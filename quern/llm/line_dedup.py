@@ -88,10 +88,10 @@ def signatures(lines: DataFrame) -> DataFrame:
     return minima.select("id", (F.col("n") > 1).alias("again"), *[band(b).alias(name) for b, name in enumerate(_BANDS)], *[packed(k) for k in range(len(_SIGNS))])
 
 
-def agreeing(a: str, b: str) -> Column:
+def agreeing(a: str, b: str, signs: list[str] = _SIGNS, minima: int = MINIMA) -> Column:
     """Minima with equal bytes in the signatures of the sides ``a`` and ``b``."""
-    differ = F.lit(MINIMA)
-    for s in _SIGNS:
+    differ = F.lit(minima)
+    for s in signs:
         x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
         for shift in (4, 2, 1):  # the last bit of a byte becomes one if any of its bits is
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))

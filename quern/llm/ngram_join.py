@@ -302,7 +302,7 @@ def may_link(a: str, b: str):
     return length & ((DEN + NUM) * behind >= least) & ((DEN + NUM) * suffix >= least)
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """The rows of ``pairs(a, b)`` whose sets link; each pair's shared shingles meet once."""
     side = lambda x: sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"s_{x}"))
 
@@ -311,7 +311,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             rows = []
             for a, b, na, sa, nb, sb in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "n_a", "s_a", "n_b", "s_b"))):
                 common = len(np.intersect1d(np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64), assume_unique=True))
-                if DEN * common >= NUM * (na + nb - common):
+                if den * common >= num * (na + nb - common):
                     rows.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 

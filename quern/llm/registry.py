@@ -10,6 +10,7 @@ from .langid import op8_language_id
 from .line_dedup import op6_line_dedup
 from .merkle import OP12_SQL, op12_merkle_manifest
 from .mixing import op9_source_mixing
+from .near_dedup import OP13_SQL, op13_near_dedup
 from .ngram_join import OP3_SQL, op3_ngram_join
 from .packing import op5_packing
 from .quality import OP10_SQL, op10_quality_rules
@@ -21,12 +22,13 @@ QUERIES = {
     f.__name__: f for f in (
         op1_exact_topk, op2_html_extraction, op3_ngram_join, op4_chat_format, op5_packing, op6_line_dedup, op7_secret_scan,
         op8_language_id, op9_source_mixing, op10_quality_rules, op11_lexical_search,
-        op12_merkle_manifest,
+        op12_merkle_manifest, op13_near_dedup,
     )
 } | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {
     "op1_exact_topk": OP1_SQL, "op3_ngram_join": OP3_SQL, "op7_secret_scan": OP7_SQL, "op10_quality_rules": OP10_SQL,
     "op11_lexical_search": OP11_SQL, "op12_merkle_manifest": OP12_SQL,
+    "op13_near_dedup": OP13_SQL,
 }
 
 
