@@ -10,12 +10,16 @@ MIN_WORDS = 50
 REPEAT_SHARE = 50
 #: Accuracy of the quantile sketches: the rank error is 1 / ACCURACY of a group.
 ACCURACY = 10_000
-#: A group's fence for a metric is median + SPREAD * (TAIL quantile - median). It is averaged with the fence of the group
-#: above (language; all documents) as if that were SHRINK documents, and is at most LOOSE times it: a source full of
-#: junk cannot lift its own fence.
+#: Documents are fenced among those of their size, as long texts vary less: a class holds texts of 2**k to 2**(k + 1) words.
+#: A group's fence for a metric is median + SPREAD * (TAIL quantile - median) of its class, language and source. It is
+#: averaged with the fence of the group above (class and language; class; all) as if that were SHRINK documents, and is at
+#: most LOOSE times the fence above or the median of the source (language; all) over all classes, whichever is higher: what a
+#: minority of a source does cannot lift the source's fence, what most of its documents do can. Where even the tail is zero, the share of zeros says nothing on
+#: what is usual in the other documents, and the fence above holds.
 TAIL, SPREAD, SHRINK, LOOSE = 0.9, 6.0, 50, 2.0
 #: A document fails if its count is NOISE standard deviations of a count above what the fence lets expect for its size.
-NOISE = 6.0
+#: At least STRAY counts are expected in a document of the corpus's median size, and in proportion in others.
+NOISE, STRAY = 6.0, 0.5
 #: Metrics: (count, size), fenced as count / size.
 METRICS = {
     "symbol_share": ("n_symbols", "word_chars"), "dup_line_share": ("n_dup_lines", "n_lines"),
@@ -80,41 +84,70 @@ def text_stats(text: Column) -> Column:
     )
 
 
+def size_class(q: Column) -> Column:
+    return F.floor(F.log2(F.greatest(q["n_words"], F.lit(1)))).cast("int")
+
+
 def fences(stages: Stages, stats: DataFrame) -> DataFrame:
-    """(lang, source, fence struct) for each pair of ``stats(lang, source, q)``, q from text_stats, null being a value of its own.
+    """(k, lang, source, fence struct, stray struct) for each class, language and source of ``stats(lang, source, q)``,
+    q from text_stats, null being a value of its own.
 
-    The quantile sketches (approx_percentile: mergeable summaries, combined on the map side) are made per language and
-    source, per language, and for all documents that the fixed rules keep.
+    The quantile sketches (approx_percentile: mergeable summaries, combined on the map side) are made of the documents that
+    the fixed rules keep, per class, language and source, per class and language, per class, and for all.
     """
     base = stats.where(~base_fails(F.col("q")))
     flat = base.select(
-        F.struct("lang").alias("l"), F.struct("source").alias("s"),
-        *[(F.col("q")[a] / F.greatest(F.col("q")[b], F.lit(1))).alias(k) for k, (a, b) in METRICS.items()],
+        size_class(F.col("q")).alias("k"), F.struct("lang").alias("l"), F.struct("source").alias("s"),
+        *[(F.col("q")[a] / F.greatest(F.col("q")[b], F.lit(1))).alias(m) for m, (a, b) in METRICS.items()],
+        *[F.col("q")[b].alias(f"size_{m}") for m, (_, b) in METRICS.items()],
     )
-    fence = lambda k: F.col(k)[0] + SPREAD * (F.col(k)[1] - F.col(k)[0])
-    sketches = flat.rollup("l", "s").agg(F.count("*").alias("n"), *[F.percentile_approx(k, F.array(F.lit(0.5), F.lit(TAIL)), F.lit(ACCURACY)).alias(k) for k in METRICS])
-    levels = stages.table(sketches.select("l", "s", "n", *[fence(k).alias(k) for k in METRICS]))
-    every = levels.where("l is null").first()
-
-    def below(own: str, above: str | None) -> list[Column]:
-        up = lambda k: F.col(f"{above}.{k}") if above else F.lit(every[k] if every else None).cast("double")
-        n = F.col(f"{own}.n")
-        return [F.least((n * F.col(f"{own}.{k}") + SHRINK * up(k)) / (n + SHRINK), LOOSE * up(k)).alias(k) for k in METRICS]
-
-    langs = levels.where("l is not null and s is null").alias("o").select("l", *below("o", None))
-    pairs = levels.where("l is not null and s is not null").alias("o").join(langs.alias("u"), F.col("o.l") == F.col("u.l"))
-    return stages.table(pairs.select(F.col("o.l.lang").alias("lang"), F.col("o.s.source").alias("source"), F.struct(*below("o", "u")).alias("fence")))
+    sketches = flat.rollup("k", "l", "s").agg(
+        F.count("*").alias("n"), *[F.percentile_approx(m, F.array(F.lit(0.5), F.lit(TAIL)), F.lit(ACCURACY)).alias(m) for m in METRICS],
+        *[F.percentile_approx(f"size_{m}", F.lit(0.5), F.lit(ACCURACY)).alias(f"size_{m}") for m in METRICS],
+    )
+    own = lambda m: (F.col(m)[0] + SPREAD * (F.col(m)[1] - F.col(m)[0])).alias(m)
+    levels = stages.table(sketches.select("k", "l", "s", "n", *[own(m) for m in METRICS], *[f"size_{m}" for m in METRICS]))
+    medians = stages.table(flat.rollup("l", "s").agg(*[F.percentile_approx(m, F.lit(0.5), F.lit(ACCURACY)).alias(m) for m in METRICS]))
+    every, middle = levels.where("k is null").first(), medians.where("l is null").first()
+
+    def below(up, mid) -> list[Column]:
+        n = F.col("o.n")
+        return [
+            F.when(F.col(f"o.{m}") == 0, up(m)).otherwise(
+                F.least((n * F.col(f"o.{m}") + SHRINK * up(m)) / (n + SHRINK), LOOSE * F.greatest(up(m), mid(m)))
+            ).alias(m) for m in METRICS
+        ]
+
+    of = lambda side: lambda m: F.col(f"{side}.{m}")
+    known = lambda row: lambda m: F.lit(row[m] if row else None).cast("double")
+    same = lambda a, b, *keys: [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in keys]
+    classes = levels.where("k is not null and l is null").alias("o").select("k", *below(known(every), known(middle)))
+    langs = (
+        levels.where("l is not null and s is null").alias("o").join(classes.alias("u"), same("o", "u", "k"))
+        .join(medians.where("l is not null and s is null").alias("m"), same("o", "m", "l")).select("o.k", "o.l", *below(of("u"), of("m")))
+    )
+    pairs = (
+        levels.where("s is not null").alias("o").join(langs.alias("u"), same("o", "u", "k", "l"))
+        .join(medians.where("s is not null").alias("m"), same("o", "m", "l", "s"))
+    )
+    stray = F.struct(*[F.lit(STRAY / max(every[f"size_{m}"], 1) if every else None).cast("double").alias(m) for m in METRICS])
+    fence = F.struct(*below(of("u"), of("m")))
+    return stages.table(pairs.select(
+        F.col("o.k").alias("k"), F.col("o.l.lang").alias("lang"), F.col("o.s.source").alias("source"), fence.alias("fence"), stray.alias("stray")
+    ))
 
 
 def base_fails(q: Column) -> Column:
     return (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > REPEAT_SHARE * q["n_words"])
 
 
-def quality_table(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def quality_table(docs: DataFrame, with_text: bool = False, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """The columns of ``docs``, text only ``with_text``, plus the counts of text_stats, ``base_failed``, ``failed_rules`` and ``kept``.
 
-    A document is rejected by the fixed rules, or by a metric whose count is too high for the fence of its language and
-    source. The counts are computed once and staged; sketches and the join read the staged rows.
+    A document is rejected by the fixed rules, or by a metric whose count is too high for the fence of its class of sizes,
+    its language and its source; ``groups`` without one of the two fences all its values together. What is allowed grows
+    with the text: a rate is compared with the group's rate, with the noise that a count of that size has. The counts are
+    computed once and staged; sketches and the join read the staged rows.
 
     Null text has no words and fails; so does empty text. Very long texts are read whole. Null language and source are
     values of their own. Repeated rows are rated each, and ties have the same verdict. An empty table gives no rows.
@@ -123,13 +156,16 @@ def quality_table(docs: DataFrame, with_text: bool = False) -> DataFrame:
     stages = Stages(docs.sparkSession, "quality")
     results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", "failed_rules", "kept")
     own = [c for c in docs.columns if c not in results and (with_text or c != "text")]
-    rows = stages.table(docs.select(F.struct(*own).alias("doc"), "lang", "source", text_stats(F.col("text")).alias("q")))
+    lang, source = (F.col(c).alias(c) if c in groups else F.lit(None).cast("string").alias(c) for c in ("lang", "source"))
+    rows = stages.table(docs.select(F.struct(*own).alias("doc"), lang, source, text_stats(F.col("text")).alias("q")))
     limits = fences(stages, rows.select("lang", "source", "q")).alias("f")
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_ROWS else limits
-    joined = rows.alias("d").join(limits, F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source")), "left")
+    same = F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source")) & (size_class(F.col("q")) == F.col("f.k"))
+    joined = rows.alias("d").join(limits, same, "left")
     above = lambda count, allowed: count > allowed + NOISE * F.sqrt(allowed + 1)
+    rate = lambda m: F.greatest(F.col("fence")[m], F.col("stray")[m])
     failed = F.filter(
-        F.array(*[F.when(above(F.col("q")[a], F.col("fence")[k] * F.col("q")[b]), F.lit(k)) for k, (a, b) in METRICS.items()]), lambda x: x.isNotNull()
+        F.array(*[F.when(above(F.col("q")[a], rate(m) * F.col("q")[b]), F.lit(m)) for m, (a, b) in METRICS.items()]), lambda x: x.isNotNull()
     )
     rated = joined.select("doc", "q", base_fails(F.col("q")).alias("base_failed"), failed.alias("failed_rules"))
     return rated.select("doc.*", "q.*", "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))
@@ -156,10 +192,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SHARES_SQL = ", ".join(f"{a} / greatest({b}, 1) AS {k}" for k, (a, b) in METRICS.items())
-_FENCES_SQL = ", ".join(f"quantile_disc({k}, 0.5) + {SPREAD} * (quantile_disc({k}, {TAIL}) - quantile_disc({k}, 0.5)) AS {k}" for k in METRICS)
-_BOUND_SQL = ", ".join(f"least((o.n * o.{k} + {SHRINK} * u.{k}) / (o.n + {SHRINK}), {LOOSE} * u.{k}) AS {k}" for k in METRICS)
-_FAILS_SQL = " OR ".join(f"coalesce({a} > g.{k} * {b} + {NOISE} * sqrt(g.{k} * {b} + 1), false)" for k, (a, b) in METRICS.items())
+_SHARES_SQL = ", ".join(f"{a} / greatest({b}, 1) AS {m}" for m, (a, b) in METRICS.items())
+_FENCES_SQL = ", ".join(f"quantile_disc({m}, 0.5) + {SPREAD} * (quantile_disc({m}, {TAIL}) - quantile_disc({m}, 0.5)) AS {m}" for m in METRICS)
+_MID_SQL = ", ".join(f"quantile_disc({m}, 0.5) AS mid_{m}" for m in METRICS)
+_STRAY_SQL = ", ".join(f"{STRAY} / greatest(quantile_disc({b}, 0.5), 1) AS stray_{m}" for m, (_, b) in METRICS.items())
+_BOUND_SQL = ", ".join(
+    f"CASE WHEN o.{m} = 0 THEN u.{m} ELSE least((o.n * o.{m} + {SHRINK} * u.{m}) / (o.n + {SHRINK}), {LOOSE} * greatest(u.{m}, mid_{m})) END AS {m}"
+    for m in METRICS
+)
+_ALLOWED = "greatest(g.{m}, e.stray_{m}) * {b}"
+_FAILS_SQL = " OR ".join(
+    f"coalesce({a} > {_ALLOWED.format(m=m, b=b)} + {NOISE} * sqrt({_ALLOWED.format(m=m, b=b)} + 1), false)" for m, (a, b) in METRICS.items()
+)
 
 OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents),
@@ -170,11 +214,14 @@ s AS (
   SELECT w.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(k, 0) AS n_repeat_words
   FROM w LEFT JOIN p ON p.doc_id = w.doc_id
-), m AS (SELECT *, {_SHARES_SQL}, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_SHARE} * n_words AS base_failed FROM s),
+), m AS (SELECT *, {_SHARES_SQL}, CAST(floor(log2(greatest(n_words, 1))) AS INTEGER) AS k, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_SHARE} * n_words AS base_failed FROM s),
 x AS (SELECT * FROM m WHERE NOT base_failed),
-e AS (SELECT {_FENCES_SQL} FROM x),
-l AS (SELECT lang, {_BOUND_SQL} FROM (SELECT lang, count(*) AS n, {_FENCES_SQL} FROM x GROUP BY 1) o, e u),
-g AS (SELECT o.lang, source, {_BOUND_SQL} FROM (SELECT lang, source, count(*) AS n, {_FENCES_SQL} FROM x GROUP BY 1, 2) o JOIN l u ON u.lang IS NOT DISTINCT FROM o.lang)
+e AS (SELECT {_FENCES_SQL}, {_STRAY_SQL}, {_MID_SQL} FROM x),
+c AS (SELECT k, {_BOUND_SQL} FROM (SELECT k, count(*) AS n, {_FENCES_SQL} FROM x GROUP BY 1) o, e u),
+l AS (SELECT o.k, o.lang, {_BOUND_SQL} FROM (SELECT k, lang, count(*) AS n, {_FENCES_SQL} FROM x GROUP BY 1, 2) o JOIN c u ON u.k = o.k
+      JOIN (SELECT lang, {_MID_SQL} FROM x GROUP BY 1) h ON h.lang IS NOT DISTINCT FROM o.lang),
+g AS (SELECT o.k, o.lang, o.source, {_BOUND_SQL} FROM (SELECT k, lang, source, count(*) AS n, {_FENCES_SQL} FROM x GROUP BY 1, 2, 3) o JOIN l u ON u.k = o.k AND u.lang IS NOT DISTINCT FROM o.lang
+      JOIN (SELECT lang, source, {_MID_SQL} FROM x GROUP BY 1, 2) h ON h.lang IS NOT DISTINCT FROM o.lang AND h.source IS NOT DISTINCT FROM o.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {_FAILS_SQL}) AS kept
-FROM m LEFT JOIN g ON g.lang IS NOT DISTINCT FROM m.lang AND g.source IS NOT DISTINCT FROM m.source
+FROM m LEFT JOIN g ON g.k = m.k AND g.lang IS NOT DISTINCT FROM m.lang AND g.source IS NOT DISTINCT FROM m.source LEFT JOIN e ON true
 """
