@@ -66,25 +66,28 @@ def find_spans(rows: DataFrame) -> DataFrame:
     return spans.withColumn("_reach", reach).where(base | F.col("_reach").isNull() | (F.col("_reach") <= F.col("_span.start"))).drop("_reach")
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_repositories: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, owner: str = "source", repository: str | None = None, max_repositories: int | None = None) -> DataFrame:
     """Base and owner-specific spans of every row of ``docs``.
 
     Each whole text is scanned once for the fixed patterns and for candidate tokens. Values of both are hashed and
-    counted over the corpus: distinct owners and distinct repositories. A candidate token held by one owner in at
-    most ``max_repositories`` is live-looking and becomes a span of kind ``owned``; a value that several owners or
-    many repositories hold is a copied example. Returns the columns of ``docs`` without text, plus ``base`` and
-    ``owned`` (arrays of start, rank, end, kind, value) and ``live`` (values of base spans that one owner alone holds).
-
-    Null and empty text: no spans. A null owner is an owner of its own. Repeated rows each get their spans and count
-    as one repository by their repository column. An empty table gives no rows. Counting is map-side combined per
-    (value, owner, repository), so a common value is a few rows per task; the join back is on the value's hash.
+    counted over the corpus: distinct owners and distinct repositories. A repository is a different text, or a value of the
+    column ``repository``: copies of a text are one. A candidate token that one owner alone holds is live-looking and
+    becomes a span of kind ``owned``, however many rows of the owner repeat it (with ``max_repositories``: if it lies in
+    at most so many of the owner's repositories); a value that several owners hold is a copied example. Returns the columns
+    of ``docs`` without text, plus ``base`` and ``owned`` (arrays of start, rank, end, kind, value) and ``live`` (values of
+    base spans that one owner alone holds).
+
+    Null and empty text: no spans. Texts of any length are scanned whole. A null owner is an owner of its own. Repeated rows
+    each get their spans. An empty table gives no rows. Other columns pass through, but input columns named ``base``,
+    ``owned`` or ``live`` give way to the result's. Counting is map-side combined per (value, owner, repository), so a
+    common value is a few rows per task; the join back is on the value's hash.
     """
     stages = Stages(docs.sparkSession, "secrets")
     keep = [c for c in docs.columns if c not in ("text", "base", "owned", "live")]
     value = F.coalesce("text", F.lit(""))
     patterns = [(p, g) for p, g, _ in KINDS.values()] + [(TOKEN, 0)]
     scanned = stages.table(docs.select(
-        F.struct(*keep).alias("_doc"), F.struct(F.col(owner)).alias("_owner"), F.struct(F.col(repository)).alias("_repo"),
+        F.struct(*keep).alias("_doc"), F.struct(F.col(owner)).alias("_owner"), F.struct(F.col(repository) if repository else F.xxhash64("text")).alias("_repo"),
         F.monotonically_increasing_id().alias("_row"), *[pieces(value, p, g).alias(f"_p{i}") for i, (p, g) in enumerate(patterns)],
     ))
     found = stages.table(find_spans(scanned.select("_row", *[f"_p{i}" for i in range(len(patterns))])))
@@ -95,7 +98,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
         hashed.groupBy("_h", "_owner", "_repo").agg(F.lit(1).alias("x"))
         .groupBy("_h", "_owner").agg(F.count("*").alias("repos"))
         .groupBy("_h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-        .where((F.col("owners") == 1) & (F.col("repos") <= max_repositories))
+        .where((F.col("owners") == 1) & (F.lit(max_repositories is None) | (F.col("repos") <= (max_repositories or 0))))
         .select("_h")
     )
     marked = hashed.join(owners.withColumn("_alone", F.lit(True)), "_h", "left").where((F.col("_span.rank") < len(KINDS)) | F.col("_alone"))
@@ -144,7 +147,7 @@ OP7_SQL = (
   SELECT * FROM t WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= {TOKEN_VARIETY}
     AND NOT EXISTS (SELECT 1 FROM b WHERE b.id = t.id AND b.a < t.a + t.n AND t.a < b.a + b.n)
 ), v AS (SELECT value FROM (SELECT * FROM b UNION ALL SELECT * FROM o) z JOIN d USING (id) GROUP BY value
-         HAVING count(DISTINCT coalesce('x' || d.source, '')) = 1 AND count(DISTINCT coalesce('x' || d.doc_id, '')) <= 3
+         HAVING count(DISTINCT coalesce('x' || d.source, '')) = 1
 ), y AS (SELECT *, kind || ':' || a || ':' || (a + n) AS s FROM (SELECT * FROM b UNION ALL SELECT * FROM o WHERE value IN (SELECT value FROM v))),
 j AS (SELECT id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
              string_agg(s, ',' ORDER BY a, rank) FILTER (kind <> '{OWNED}') AS base, string_agg(s, ',' ORDER BY a, rank) AS spans FROM y GROUP BY 1)

@@ -595,6 +595,19 @@ def test_mixing_reports_targets_that_cannot_be_met(spark, rows):
         mixing.mix_rates(docs, rows("doc_id long, domain string", []), mixing.WEIGHTS, "high").count()
 
 
+def test_owners_decide_and_copies_are_one_repository(rows):
+    own, shared = "aB3dE5fG7hJ9kL2mN4pQ", "zZ9yY8xX7wW6vV5uU4tT"
+    data = [(i, f"see {own} here", "a") for i in range(4)] + [(10 + i, f"other {own} text {i}", "a") for i in range(5)]
+    data += [(20, f"see {shared} here", "a"), (21, f"see {shared} here", "b"), (22, f"null {own[::-1]}", None), (23, None, "b")]
+    table = rows("doc_id long, text string, source string", data)
+    found = {r["doc_id"]: [s["value"] for s in r["owned"]] for r in secrets.scan_secrets(table).collect()}
+    assert all(found[i] == [own] for i in [*range(4), *range(10, 15)])
+    assert found[20] == found[21] == found[23] == [] and found[22] == [own[::-1]]
+    few = {r["doc_id"]: len(r["owned"]) for r in secrets.scan_secrets(table, max_repositories=5).collect()}
+    assert few[0] == 0 and few[22] == 1  # six different texts; the four copies are one of them
+    assert {r["doc_id"]: len(r["owned"]) for r in secrets.scan_secrets(table, max_repositories=6).collect()}[0] == 1
+
+
 def test_secret_scan_of_many_matches_and_clashing_columns(rows):
     many = " ".join(f"token={i:06d}x Zk{i}x9Qw-71mNopRtUvB{i % 7}" for i in range(20_000))
     names = "doc_id long, text string, source string, base string, owned string, live string, _row int, _h int, _owner string"
@@ -688,6 +701,36 @@ def test_quality_metrics_reject_and_junk_does_not_lift_fences(rows):
     assert got["null"]["base_failed"] and not got["null"]["kept"]
 
 
+def test_group_fences_decide_on_documents(spark, rows):
+    """English documents of the given tables, labelled or without signs, and a source whose texts are as full of bars as some junk there."""
+    at = "/root/testdata/sf0.1"
+    quality_of = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    sign = F.col("text").rlike("[#*$%&|<>]")
+    docs = spark.read.parquet(f"{at}/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang", "source")
+    docs = docs.where(~sign | F.col("doc_id").isin([i for i, q in quality_of.items() if q == 0])).repartition(8)
+    bars = F.concat_ws("\n", F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) % 2 == 0, F.regexp_replace(x, " ", " | ")).otherwise(x)))
+    lists = docs.where(~sign & (F.size(F.split("text", "\n")) > 3) & (F.length("text") < 3000)).orderBy("doc_id").limit(250)
+    both = docs.union(lists.select(F.col("doc_id") + 10**6, bars.alias("text"), "lang", F.lit("lists")))
+    verdict = lambda **k: {r["doc_id"]: (r["base_failed"], r["kept"], r["source"]) for r in quality.quality_table(both, **k).collect()}
+    own, corpus = verdict(), verdict(groups=())
+    lists = [i for i in own if own[i][2] == "lists" and not own[i][0]]
+    changed = [i for i in own if own[i][1] != corpus[i][1]]
+    assert len(lists) > 200 and sum(own[i][1] for i in lists) > 0.9 * len(lists) and sum(corpus[i][1] for i in lists) < 0.2 * len(lists)
+    assert len(changed) > 0.7 * len(lists) and all(own[i][1] for i in changed)
+    assert all(own[i][1] == bool(q) for i, q in quality_of.items() if i in own and not own[i][0])
+
+
+def test_what_is_allowed_grows_with_the_text(rows):
+    import random
+
+    rng = random.Random(8)
+    clean = [(i, "\n".join(" ".join(prose(rng, 12)) for _ in range(10)), "en", "s") for i in range(200)]
+    signs = lambda words, n: " ".join(w + ("#" if i < n else "") for i, w in enumerate(prose(rng, words)))
+    odd = [(1000, signs(20_000, 7), "en", "s"), (1001, signs(20_000, 60), "en", "s"), (1002, signs(20_000, 4_000), "en", "s"), (1003, signs(120, 60), "en", "s")]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_table(rows("doc_id long, text string, lang string, source string", clean + odd)).collect()}
+    assert all(got[i] for i in range(200)) and got[1000] and got[1001] and not got[1002] and not got[1003]
+
+
 def test_quality_keeps_clashing_columns(rows):
     names = "doc_id long, text string, lang string, source string, kept string, doc int, q int, fence string, n_words string"
     table = rows(names, [(1, " ".join(f"w{i}" for i in range(99)), "en", "s", "mine", 1, 2, "f", "n"), (2, "", None, None, None, None, None, None, None)])
