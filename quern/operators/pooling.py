@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions.text import keyed_digest
 
+from . import graph
+from .ingest import require
+
 SAMPLE_SCHEMA, ORDER_SCHEMA = "quern-sample-v1", "quern-judging-order-v1"
 
 
@@ -99,8 +102,8 @@ def near_questions(rows: DataFrame, grams: Column, ident: str, threshold: float)
 
 
 def greedy_survivors(pairs: list[tuple], idents: list) -> tuple[list, list[tuple]]:
-    """(kept, [(dropped, kept one it repeats)]) in order of id: only what is kept suppresses. Driver-side, over the
-    pairs of one question set."""
+    """(kept, [(dropped, kept one it repeats)]) in order of id: only what is kept suppresses. The rule for a handful of
+    questions at hand; ``dedupe_questions`` applies it to tables."""
     near: dict = {}
     for a, b in pairs:
         near.setdefault(b, []).append(a)
@@ -115,6 +118,21 @@ def greedy_survivors(pairs: list[tuple], idents: list) -> tuple[list, list[tuple
     return kept, gone
 
 
+def dedupe_questions(rows: DataFrame, grams: Column, threshold: float = 0.85) -> DataFrame:
+    """(chunk_id, kept, repeats) for the chunks of ``rows(chunk_id, variant, ...)``: in order of chunk_id, a chunk goes if any
+    of its questions is similar to any question of a chunk that stays; ``repeats`` is the first such chunk.
+
+    Each chunk must have both variants, or the job fails; ``grams`` gives a question's grams. Similar questions of one chunk
+    do not matter.
+    """
+    whole = rows.groupBy("chunk_id").agg(F.count_distinct("variant").alias("k"), F.count("*").alias("n"))
+    chunks = require(whole, (F.col("k") == 2) & (F.col("n") == 2), "a chunk needs both variants").select(F.col("chunk_id").alias("id"))
+    keyed = rows.withColumn("_id", F.struct("chunk_id", "variant"))
+    pairs = near_questions(keyed, grams, "_id", threshold)
+    edges = pairs.select(F.col("earlier.chunk_id").alias("a"), F.col("later.chunk_id").alias("b")).where("a <> b").distinct()
+    return graph.greedy_survivors(chunks, edges).withColumnRenamed("id", "chunk_id")
+
+
 def sample_keeping_gold(docs: DataFrame, gold: DataFrame, size: int, seed: str) -> DataFrame:
     """All gold documents and distractors by keyed digest, ``size`` in all."""
     need = gold.select("doc_id").distinct()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from quern.functions import text as T
 from quern.operators import generation, lexical, pooling, stats
@@ -174,6 +174,27 @@ def near_questions(spark, sf_dir):
     return pooling.near_questions(rows, T.char_ngrams(F.col("text"), 2), "id", 0.5).withColumn("similarity", F.round("similarity", 8))
 
 
+@query("""WITH RECURSIVE u AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS v FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, v, regexp_replace(coalesce(text, ''), '\\s', '', 'g') AS s FROM u WHERE v <= 2 AND conv_id IN (SELECT conv_id FROM u WHERE v = 2)),
+g AS (SELECT DISTINCT conv_id, v, t FROM (SELECT conv_id, v, unnest(CASE WHEN length(s) = 1 THEN [s] ELSE list_transform(range(1, length(s)), lambda i: substring(s, i, 2)) END) AS t FROM r)),
+n AS (SELECT conv_id, v, count(*) AS n FROM g GROUP BY ALL),
+o AS (SELECT a.conv_id AS a, a.v AS av, b.conv_id AS b, b.v AS bv, count(*) AS c FROM g a JOIN g b ON a.t = b.t AND a.conv_id < b.conv_id GROUP BY ALL),
+e AS (SELECT DISTINCT a, b FROM o JOIN n x ON x.conv_id = a AND x.v = av JOIN n y ON y.conv_id = b AND y.v = bv WHERE c / (x.n + y.n - c) >= 0.5),
+m AS (SELECT d.conv_id AS id, row_number() OVER (ORDER BY d.conv_id) AS i, coalesce(l, []) AS l
+      FROM (SELECT DISTINCT conv_id FROM r) d LEFT JOIN (SELECT b, list(a) AS l FROM e GROUP BY 1) x ON x.b = d.conv_id),
+k(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT m.i, CASE WHEN list_has_any(kept, l) THEN kept ELSE list_append(kept, id) END FROM k JOIN m ON m.i = k.i + 1),
+f AS (SELECT arg_max(kept, i) AS kept FROM k)
+SELECT id AS conv_id, list_contains(kept, id) AS kept, coalesce(list_min(list_intersect(l, kept)), -1) AS repeats FROM m, f""")
+def deduped_questions(spark, sf_dir):
+    """The first two user turns of a conversation are a chunk's questions; a conversation goes if one is like a kept one's."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("variant", F.row_number().over(w)).where("variant <= 2")
+    both = asked.groupBy("conv_id").agg(F.count("*").alias("n")).where("n = 2").select("conv_id")
+    rows = asked.join(both, "conv_id").select(F.col("conv_id").alias("chunk_id"), "variant", "text")
+    out = pooling.dedupe_questions(rows, T.char_ngrams(F.col("text"), 2), 0.5)
+    return out.select(F.col("chunk_id").alias("conv_id"), "kept", F.coalesce("repeats", F.lit(-1)).alias("repeats"))
+
+
 PAIRS = """pairs AS (SELECT u.conv_id * 10000 + u.turn AS sample_id, string_split(a.text, ' ') AS c, string_split(u.text, ' ') AS r
 FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
 
