@@ -35,11 +35,21 @@ NOISE_TAGS = frozenset(
     "head script style noscript template nav footer aside form button select textarea input iframe noembed noframes svg"
     " canvas object audio video dialog menu search title xmp".split()
 )
+#: Words that mark a part beside the article wherever they stand in a class or id.
 NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored promo promoted promotion banner menu"
-    " nav navbar navigation breadcrumb breadcrumbs sidebar rail widget widgets footer masthead comment comments disqus respond"
-    " replies reply cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription"
-    " signup login share sharing social related recommended recommendations pagination pager toolbar skip search".split()
+    "ads advert adverts advertisement advertising adsense adsbygoogle sponsored navbar navigation breadcrumb breadcrumbs sidebar"
+    " footer masthead comment comments disqus cookie cookies gdpr newsletter pagination".split()
+)
+#: Words that do so as a whole class or id, or together with other such words and PLACE_WORDS ("ad", "top-menu", "share-bar").
+#: In other compounds ("search-results", "social-science") they mark a part only if most of its text is links.
+WEAK_WORDS = frozenset(
+    "ad sponsor promo promoted promotion banner menu nav rail widget widgets respond replies reply consent notice notices alert"
+    " popup modal overlay subscribe subscription signup login share sharing social related recommended recommendations pager"
+    " toolbar skip search".split()
+)
+PLACE_WORDS = frozenset(
+    "area bar block bottom box buttons container form header icons inner item items left link links list main mobile outer panel primary"
+    " region right secondary section site slot top unit wrap wrapper".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 HEADER_WORDS = frozenset(["header", "topbar"])
@@ -110,10 +120,11 @@ def tags(html: str) -> Iterator[tuple[int, int, str, str]]:
 class Node:
     """A slot: an element, or neighbouring elements of the same name and class."""
 
-    __slots__ = ("sign", "children", "blocks", "noise", "main")
+    __slots__ = ("sign", "children", "blocks", "noise", "main", "suspect")
 
-    def __init__(self, sign: str, noise: bool, main: bool):
-        self.sign, self.noise, self.main = sign, noise, main
+    def __init__(self, sign: str, noise: bool, main: bool, suspect: int = 0):
+        """``suspect``: the number of the outermost element around it whose name may mark a part beside the article."""
+        self.sign, self.noise, self.main, self.suspect = sign, noise, main, suspect
         self.children: list[Node] = []
         self.blocks: list[int] = []
 
@@ -127,6 +138,14 @@ class Page:
         self._buffer: list[str] = []
         self._linked = 0
         self._parse(html)
+        links: dict[int, list[int]] = {}
+        for slot, text, linked in self.blocks:
+            if slot.suspect:
+                n = links.setdefault(slot.suspect, [0, 0])
+                n[0] += linked
+                n[1] += len(text)
+        #: Suspects whose text is mostly links.
+        self.menus = {x for x, (linked, chars) in links.items() if linked >= LINKED * chars}
 
     def _flush(self, slot: Node) -> None:
         if self._buffer:
@@ -197,13 +216,14 @@ class Page:
                         break
             parent = stack[-1][1]
             attributes = {a.lower(): b or c or d or "" for a, b, c, d in _ATTRIBUTE.findall(inside)} if inside else {}
-            noise = parent.noise or self._noise(name, attributes, parent.main)
+            named = parent.noise or self._noise(name, attributes, parent.main)
+            noise, suspect = bool(named), parent.suspect or (start + 1 if named is None else 0)
             if block or noise != parent.noise:
                 self._flush(parent)
                 sign = f"{name}.{re.sub('[0-9]+', '#', attributes.get('class', ''))}"
                 last = parent.children[-1] if parent.children else None
-                if last is None or last.sign != sign or last.noise != noise:
-                    last = Node(sign, noise, parent.main or name in MAIN_TAGS or attributes.get("role") == "main")
+                if last is None or last.sign != sign or last.noise != noise or bool(last.suspect) != bool(suspect):
+                    last = Node(sign, noise, parent.main or name in MAIN_TAGS or attributes.get("role") == "main", suspect)
                     parent.children.append(last)
                 slot, block = last, True
             else:
@@ -228,7 +248,8 @@ class Page:
         self._flush(self.root)
 
     @staticmethod
-    def _noise(name: str, attributes: dict[str, str], in_main: bool) -> bool:
+    def _noise(name: str, attributes: dict[str, str], in_main: bool) -> bool | None:
+        """Whether the element is a part beside the article; None if its links decide."""
         if name in NOISE_TAGS or (name == "header" and not in_main):
             return True
         if name in ("html", "body", "article", "main") and not attributes.get("class"):
@@ -241,12 +262,19 @@ class Page:
             return True
         if name in ("html", "body") or (name in MAIN_TAGS and not in_main):
             return False
-        words: set[str] = set()
+        suspect = False
         for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
             parts = [w.lower() for w in _WORD.findall(token)]
-            if parts and not (len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST)):
-                words.update(parts)
-        return bool(words & NOISE_WORDS) or (not in_main and bool(words & HEADER_WORDS))
+            if not parts or (len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST)):
+                continue
+            words = {w for w in parts if not w.isdigit()}
+            if words & NOISE_WORDS or (not in_main and words & HEADER_WORDS):
+                return True
+            if words & WEAK_WORDS:
+                if words <= WEAK_WORDS | PLACE_WORDS:
+                    return True
+                suspect = True
+        return None if suspect else False
 
 
 def digest(text: str) -> str:
@@ -399,7 +427,7 @@ def main_text(page: Page, aligned: list[tuple], flags: frozenset) -> str:
         for part, d in slot_parts(page, node):
             if (place, part) in flags and d == theirs[part]:
                 gone.update(node.blocks if part == 0 else node.blocks[:1] if part == 1 else node.blocks[-1:])
-    kept = [b for i, b in enumerate(page.blocks) if i not in gone and not b[0].noise]
+    kept = [b for i, b in enumerate(page.blocks) if i not in gone and not b[0].noise and b[0].suspect not in page.menus]
     if any(b[0].main for b in kept):
         kept = [b for b in kept if b[0].main]
     return "\n".join(b[1] for b in kept)
