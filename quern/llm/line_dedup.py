@@ -17,13 +17,11 @@ GRAM, SIMILARITY = 5, 0.75
 #: j % CLASSES. A band joins the minima at the marks of RULER, moved on from band to band: marks in all classes, at
 #: distances that all differ, so that two bands share one minimum at most. Six minima a band keep apart lines that have
 #: little in common, of which there are about as many as the corpus has lines.
-MINIMA, CLASSES, BANDS, RULER, TURN = 40, 8, 20, (0, 1, 4, 10, 15, 17), 6
+MINIMA, CLASSES, BANDS, RULER, TURN = 40, 8, 32, (0, 1, 4, 10, 15, 17), 6
 #: Band rows are dealt out in so many parts, one after the other: the disk they need is that of a part.
-PARTS = 2
+PARTS = 4
 #: Pairs that share a band are verified if so many of their MINIMA agree; at SIMILARITY 30 do on average.
 AGREE = 22
-#: Pairs that stars leave open are near the limit or far below it: of them so many must agree.
-AGREE_LAST = 30
 #: Rows of two numbers that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rounds of stars before the remaining pairs of a band are compared, in blocks of BLOCK lines.
@@ -170,7 +168,7 @@ def similar_lines(stages: Stages, signed: DataFrame, lines: DataFrame) -> DataFr
     left = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = sized.withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
     at = lambda c: F.col(f"x.{c}") == F.col(f"y.{c}")
-    near = (F.col("x.component") < F.col("y.component")) & (agreeing("x", "y") >= AGREE_LAST)
+    near = (F.col("x.component") < F.col("y.component")) & (agreeing("x", "y") >= AGREE)
     near = near & (F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.band"))  # once, however many bands they share
     cross = left.alias("x").join(right.alias("y"), at("band") & at("block") & near).select(*pair(F.col("x.id"), F.col("y.id")))
     cross = stages.table(cross.join(found, ["a", "b"], "left_anti"))

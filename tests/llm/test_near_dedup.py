@@ -89,15 +89,15 @@ def test_near_dedup_of_nothing(rows):
 
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 2**32 - 1), st.integers(0, near_dedup.LIMIT))
-def test_signatures_within_the_limit_share_keys_of_different_chunks(seed, differing):
+def test_signatures_within_the_limit_share_a_key(seed, differing):
     rng = np.random.default_rng(seed)
     a = rng.integers(0, 256, near_dedup.CELLS_ALL, np.uint8)
     b = a.copy()
     at = rng.permutation(near_dedup.CELLS_ALL)[:differing] if seed % 2 else np.arange(differing) * 2 % near_dedup.CELLS_ALL
     b[at] += rng.integers(1, 256, len(at), np.uint8)
-    x, y = near_dedup.chunk_keys(np.stack([a, b]))
-    same = np.intersect1d(x, y)
-    assert len(set((same % np.uint64(near_dedup.CHUNKS)).tolist())) >= near_dedup.CLASSES + 1
+    x, y = near_dedup.chunk_keys(np.stack([a, b])).tolist()
+    same = [p for p, q in zip(x, y) if p == q]
+    assert same and near_dedup.first_key(a[None], b[None])[0] == near_dedup.first_key(b[None], a[None])[0] == same[0]
 
 
 def test_distance_follows_similarity():

@@ -163,6 +163,26 @@ def test_wrapper_alone_finds_the_template(rows):
     assert html.main_text(html.Page(page(1)), [], frozenset()).endswith("All rights kept") and got[100].endswith("All rights kept")
 
 
+CONTENT_NAMES = ["search-results", "social-science", "related-work", "notice-period", "market-share", "ad-hoc-report", "railMap", "alert_levels", "banner-history"]
+PART_NAMES = ["search", "ad", "ad-slot", "share-bar", "social-links", "top-menu", "widget 3", "loginForm", "cookie-notice-text", "reader-comments", "NewsletterBox", "sidebar-left"]
+
+
+@pytest.mark.parametrize("name", CONTENT_NAMES)
+def test_html_words_in_other_compounds_are_content(name):
+    at = lambda attribute, inner: f"<body><div><p>first text</p></div><div {attribute}='{name}'>{inner}</div><p>last text</p></body>"
+    for attribute in ("class", "id"):
+        page = html.Page(at(attribute, "<p>what it says, see <a href=x>here</a> and on</p>"))
+        assert html.main_text(page, [], frozenset()) == "first text\nwhat it says, see here and on\nlast text"
+    menu = html.Page(at("class", "<ul><li><a href=x>one of the links</a></li><li><a href=y>another of them</a></li></ul>"))
+    assert html.main_text(menu, [], frozenset()) == "first text\nlast text"  # its links tell
+
+
+@pytest.mark.parametrize("name", PART_NAMES)
+def test_html_names_of_parts(name):
+    page = html.Page(f"<body><p>first text</p><div class='{name}'><p>not a part of it</p></div><p>last text</p></body>")
+    assert html.main_text(page, [], frozenset()) == "first text\nlast text"
+
+
 def test_html_states_are_no_parts():
     text = lambda h: html.main_text(html.Page(h), [], frozenset())
     assert text("<article class='post comments-open'><p>kept</p><div class='comments'>no</div></article>") == "kept"
@@ -411,6 +431,45 @@ def test_line_dedup_against_brute_force(rows):
         assert sum(max(at[a], at[b]) in got for a, b in pairs) >= 36, kind
 
 
+def pairs_over_one_line(rng, edits, pairs):
+    """Pairs of lines at similarity 0.75 to 0.8, all written over one line of 200 characters: few edits, all lines are much alike."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    common = "s" + "".join(rng.choice(letters + " ") for _ in range(198)) + "e"
+
+    def change(line, n):
+        line = list(line)
+        for _ in range(n):
+            line[rng.randrange(1, len(line) - 1)] = rng.choice(letters)
+        return "".join(line)
+
+    out = []
+    while len(out) < pairs:
+        a = change(common, edits)
+        b = change(a, rng.randrange(4, 9))
+        x, y = shingle_set(a), shingle_set(b)
+        if 0.75 <= len(x & y) / len(x | y) < 0.8:
+            out += [(a, b)]
+    return out
+
+
+def test_line_dedup_of_pairs_among_lines_much_alike(rows):
+    import random
+
+    rng = random.Random(5)
+    mixtures = [[x for p in pairs_over_one_line(rng, edits, 70) for x in p] for edits in (14, 7, 5)]
+    lines = [(100_000 * k + i, x) for k, mixture in enumerate(mixtures) for i, x in enumerate(mixture)]
+    got = line_dedup.dedup_lines(rows("doc_id long, text string", lines)).where(F.size("dropped") > 0)
+    dropped = Counter(r["doc_id"] // 100_000 for r in got.collect())
+    for k, mixture in enumerate(mixtures):
+        sets, name = [shingle_set(x) for x in mixture], list(range(len(mixture)))
+        for i in range(len(sets)):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j]) and name[i] != name[j]:
+                    name = [name[j] if x == name[i] else x for x in name]
+        want = len(mixture) - len(set(name))
+        assert want >= 70 and 0.95 * want <= dropped[k] <= want
+
+
 def test_line_signatures_depend_on_the_set_of_shingles(rows):
     got = line_dedup.signatures(rows("id long, norm string", [(1, "ab" * 63), (2, "ab" * 200), (2, "ab" * 200), (3, "x")])).orderBy("id").collect()
     assert [r["again"] for r in got] == [False, True, False] and got[0][2:] == got[1][2:] != got[2][2:]
