@@ -9,27 +9,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import Stages, components, read_table
-from .line_dedup import agreeing, mixed_members, pair, star_pairs
+from .line_dedup import agreeing, pair
 from .ngram_join import Shingler, pack, shared, small, unpack, verify
 
 WORDS = 4
 #: A pair links when DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
-#: A signature has CHUNKS chunks of CELLS cells; a cell holds 8 bits of a minimum. Two signatures at a distance of at most
-#: LIMIT cells have CHUNKS - LIMIT // 2 = 4 chunks or more in which one cell at most differs (pigeonhole), so that they
-#: share a key of each: the chunk without one of its cells. At similarity 0.8 the distance is 38.4 on average with a
-#: deviation of 5.5, and 2 pairs in 10,000 are beyond LIMIT; at 0.85 none in 10 million.
-CHUNKS, CELLS, LIMIT = 32, 6, 57
-CELLS_ALL = CHUNKS * CELLS
-#: Shared keys of which a pair below LIMIT has more than that lie in as many classes of chunks: two are in one class.
-CLASSES = CHUNKS - LIMIT // 2 - 1
+#: A signature has CHUNKS chunks of CELLS cells; a cell holds 8 bits of a minimum. Of two signatures at a distance of at most
+#: LIMIT cells one chunk or more differs in one cell at most (pigeonhole: two cells in every chunk would be LIMIT + 1), so
+#: that they share a key of it: the chunk without one of its cells. At similarity 0.8 the distance is 28.8 on average with
+#: a deviation of 4.8, and fewer than 1 pair in 10,000 is beyond LIMIT; at 0.85 none in 10 million.
+CHUNKS, CELLS = 24, 6
+LIMIT, CELLS_ALL = 2 * CHUNKS - 1, CHUNKS * CELLS
 #: Shingles hashed at a time, sets whose keys a task gathers before it deals them out, and key bytes in a group.
 SLICE, BLOCK_SETS, GROUP_BYTES = 4096, 10_000, 8 << 20
 #: Sets of one key that a block deals to the key's group, two at least, which tell the group that the key is shared; further ones go on
 #: their own.
 OWN_SETS = 4
-#: Rounds of stars before the remaining pairs of a key are compared; sets of a key compared in one block.
-STAR_ROUNDS, BLOCK = 3, 1024
+#: Rounds in which a set is verified with its nearest one in another component before all remaining pairs are; sets of a key
+#: compared in one block.
+NEAREST_ROUNDS, BLOCK = 2, 1024
 #: Rows of two numbers that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -53,14 +52,21 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
-    """The CELLS_ALL keys of each signature: every chunk without each of its cells; the low bits tell the chunk."""
+    """The CELLS_ALL keys of each signature: every chunk without each of its cells."""
     cells = signatures.reshape(len(signatures), CHUNKS, CELLS).astype(np.uint64)
     whole = (cells << (np.arange(CELLS, dtype=np.uint64) * np.uint64(8))).sum(2, dtype=np.uint64)
     drop = np.arange(CELLS, dtype=np.uint64)
     left = whole[:, :, None] & ~(np.uint64(255) << drop * np.uint64(8))
     chunk = np.arange(CHUNKS, dtype=np.uint64)[:, None]
-    keys = _mixed(left + (drop << np.uint64(48)) + (chunk << np.uint64(52)))
-    return (keys - keys % np.uint64(CHUNKS) + chunk).reshape(len(signatures), CELLS_ALL)
+    return _mixed(left + (drop << np.uint64(48)) + (chunk << np.uint64(52))).reshape(len(signatures), CELLS_ALL)
+
+
+def first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first key that two signatures in the rows of ``a`` and ``b`` share; they must be within LIMIT."""
+    differ = (a != b).reshape(len(a), CHUNKS, CELLS)
+    chunk = (differ.sum(2) <= 1).argmax(1)
+    place = chunk * CELLS + differ[np.arange(len(a)), chunk].argmax(1)
+    return chunk_keys(a)[np.arange(len(a)), place]
 
 
 def distance(a: str, b: str) -> Column:
@@ -195,39 +201,97 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def split_hot(rest: DataFrame) -> DataFrame:
-    """``rest(band, id, component)`` with keys of at most BLOCK sets as they are, and pairs of two larger keys in their place.
+def star_pairs(members: DataFrame) -> DataFrame:
+    """Different (a, b): each set of ``members(band, id, degree)`` with two centres of its keys at most, the one that is so for
+    most of its keys and the one with the highest degree. The centre of a key is its set with the highest degree."""
+    centre = members.groupBy("band").agg(F.max(F.struct("degree", "id")).alias("c"))
+    met = members.join(centre, "band").where(F.col("id") != F.col("c.id"))
+    met = met.groupBy("id", F.col("c.id").alias("centre")).agg(F.count("*").alias("k"), F.max("c.degree").alias("d"))
+    best = met.groupBy("id").agg(F.max(F.struct("k", "d", "centre")).alias("x"), F.max(F.struct("d", "k", "centre")).alias("y"))
+    return best.select("id", F.explode(F.array("x.centre", "y.centre")).alias("centre")).select(*pair(F.col("id"), F.col("centre"))).distinct()
+
+
+def nearest_only(found: np.ndarray) -> np.ndarray:
+    """The rows of ``found(a, b, distance)`` that are the nearest of their a or of their b."""
+    keep = np.zeros(len(found), bool)
+    for side in (0, 1):
+        order = np.lexsort((found[:, 1 - side], found[:, 2], found[:, side]))
+        keep[order[np.append(True, found[order][1:, side] != found[order][:-1, side])]] = True
+    return found[keep]
+
+
+def compare(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b, d) of rows ``(band, i, j, block, id, component, n, s0, ...)`` sorted by band, i and j: sets of block i with those of
+    block j that lie in different components, may link by their sizes and are within LIMIT; each pair under its first key only.
+    ``nearest``: of each set's pairs in a group the nearest one."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        col = lambda name: rows.column(name).to_numpy()
+        band, i, j = (rows.column(c)[0].as_py() for c in ("band", "i", "j"))
+        ids, component, n, block = col("id"), col("component"), col("n"), col("block")
+        cells = np.ascontiguousarray(np.stack([col(s) for s in _SIGNS], 1)).view(np.uint8).reshape(len(ids), CELLS_ALL)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out = []
+        for at in range(0, len(left), 64):
+            some = left[at : at + 64]
+            apart = component[some][:, None] != component[right][None]
+            if i == j:
+                apart &= some[:, None] < right[None]
+            small, large = np.minimum(n[some][:, None], n[right][None]), np.maximum(n[some][:, None], n[right][None])
+            x, y = np.nonzero(apart & (DEN * small >= NUM * large))
+            for start in range(0, len(x), 65_536):
+                p, q = some[x[start : start + 65_536]], right[y[start : start + 65_536]]
+                d = (cells[p] != cells[q]).sum(1)
+                p, q, d = p[d <= LIMIT], q[d <= LIMIT], d[d <= LIMIT]
+                first = first_key(cells[p], cells[q]).view(np.int64) == band if len(p) else np.zeros(0, bool)
+                x1, x2 = ids[p[first]], ids[q[first]]
+                out.append(np.stack([np.minimum(x1, x2), np.maximum(x1, x2), d[first]], 1))
+        found = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+        found = nearest_only(found) if nearest and len(found) else found
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k]), pa.int64()) for k in range(3)], ["a", "b", "d"])
+
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        keys = [table.column(c).to_numpy() for c in ("band", "i", "j")]
+        starts = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))).tolist() if len(table) else []
+        for a, b in zip(starts, [*starts[1:], len(table)]):
+            key = tuple(int(k[a]) for k in keys)
+            if key != last and held:
+                yield pairs(pa.concat_tables(held))
+                held = []
+            held.append(table.slice(a, b - a))
+            last = key
+    if held:
+        yield pairs(pa.concat_tables(held))
+
 
-    Sets that link share CLASSES + 1 keys of different chunks or more: one of them is small, or two large ones lie in one class.
+def crossing(members: DataFrame, label: DataFrame, signs: DataFrame, nearest: bool) -> DataFrame:
+    """Different (a, b, d) of sets that share a key, lie in different components and may link, from ``members(band, id)``; with
+    ``nearest`` each set's nearest one in a group only.
+
+    The sets of a key are dealt into blocks of BLOCK, and each pair of blocks is compared on its own; only pairs that may
+    link leave a task.
     """
-    size = rest.groupBy("band").agg(F.count("*").alias("k"))
-    large = size.where(F.col("k") > BLOCK).select("band")
-    hot = rest.join(large, "band", "left_semi").withColumn("chunk", F.pmod("band", F.lit(CHUNKS)))
-    x, y = hot.alias("x"), hot.alias("y")
-    both = x.join(y, (F.col("x.id") == F.col("y.id")) & (F.col("x.chunk") < F.col("y.chunk")) & (F.col("x.chunk") % CLASSES == F.col("y.chunk") % CLASSES))
-    twice = both.select(F.xxhash64("x.band", "y.band").alias("band"), F.col("x.id").alias("id"), F.col("x.component").alias("component"))
-    return rest.join(large, "band", "left_anti").select("band", "id", "component").union(twice)
-
-
-def crossing(stages: Stages, rest: DataFrame, signs: DataFrame) -> DataFrame:
-    """Different (a, b) of sets that share a key, lie in different components and may link; compared in blocks."""
-    rest = stages.table(split_hot(rest))
-    size = rest.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    sized = rest.join(size.where("lo < hi").select("band", "blocks"), "band").join(signs, "id")
-    left = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = sized.withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
-    at = lambda c: F.col(f"x.{c}") == F.col(f"y.{c}")
-    apart = F.col("x.component") < F.col("y.component")
-    met = left.alias("x").join(right.alias("y"), at("band") & at("block") & apart & may_link("x", "y"))
-    return met.select(*pair(F.col("x.id"), F.col("y.id"))).distinct()
+    marked = members.join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    mixed = marked.groupBy("band").agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    ).where("lo < hi").select("band", "blocks")
+    rest = marked.join(mixed, "band").withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
+    dealt = rest.join(signs, "id").select("band", "i", "j", "block", "id", "component", "n", *_SIGNS)
+    run = lambda batches: compare(batches, nearest)
+    return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long, d long")
 
 
 def set_links(stages: Stages, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(id, component) of the sets that link with another one, of ``sets(id, n, s0, ...)``.
 
-    The sets of a key are compared with one of them, the one with most neighbours; a set is verified with the nearest of
-    those it was compared with. In the next rounds those left in other components are compared with one of them again. At
-    last every pair of a key whose sets lie in different components and whose signatures are within LIMIT is verified.
+    The sets of a key have one of them as their centre, the one with most neighbours. A set is compared with two of its
+    centres and verified with the nearer one. In the next rounds the sets of a key that lie in different components are compared
+    with each other, and each is verified with the nearest. At last every pair of a key whose sets lie in different components and whose signatures are within LIMIT is verified.
     """
     keyed = shared_keys(stages, sets)
     crowd = keyed.groupBy("band").agg(F.count("*").alias("k"))
@@ -237,6 +301,7 @@ def set_links(stages: Stages, docs: DataFrame, sets: DataFrame) -> DataFrame:
     nodes = stages.table(members.select("id").distinct())
     signs = stages.table(sets.join(few(nodes), "id", "left_semi"))
     full = stages.table(whole_sets(docs, nodes.withColumnRenamed("id", "set_id")))
+    stages.drop(nodes)
 
     def near(pairs: DataFrame) -> DataFrame:
         side = lambda x: signs.select(F.col("id").alias(x), "n", *_SIGNS).alias(x)
@@ -248,21 +313,24 @@ def set_links(stages: Stages, docs: DataFrame, sets: DataFrame) -> DataFrame:
         known = label.select(F.col("id").alias("a"), F.col("component").alias("b")) if label is not None else None
         return components(stages, edges.union(known) if known is not None else edges)
 
-    label = None
-    for _ in range(STAR_ROUNDS):
-        if label is not None:
-            members = stages.table(mixed_members(members.select("band", "id", "degree"), label))
-        met = stages.table(near(star_pairs(members)))
+    def best(met: DataFrame) -> DataFrame:
+        """The nearest pair of each set in ``met(a, b, d)``."""
+        ends = met.select("a", "b", "d", F.explode(F.array("a", "b")).alias("id"))
+        return stages.table(ends.groupBy("id").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+
+    met = stages.table(near(star_pairs(members)))
+    label = linked(best(met), None)
+    stages.drop(met)
+    keys = members.select("band", "id")
+    for _ in range(NEAREST_ROUNDS):
+        met = stages.table(crossing(keys, label, signs, True))
         if met.isEmpty():
-            label = components(stages, met.select("a", "b")) if label is None else label
             break
-        ends = met.select("a", "b", "d", F.explode(F.array("a", "b")).alias("id"))
-        nearest = ends.groupBy("id").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        label = linked(stages.table(nearest), label)
-    rest = mixed_members(members.select("band", "id", "degree"), label).select("band", "id", "component")
-    cross = stages.table(crossing(stages, rest, signs))
-    out = label if cross.isEmpty() else linked(cross, label)
-    stages.drop(members, nodes, signs, full, cross)
+        label = linked(best(met), label)
+        stages.drop(met)
+    cross = stages.table(crossing(keys, label, signs, False))
+    out = label if cross.isEmpty() else linked(cross.select("a", "b"), label)
+    stages.drop(members, signs, full, cross)
     return out
 
 
