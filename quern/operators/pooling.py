@@ -60,15 +60,21 @@ def stratified_sample(rows: DataFrame, theme: str, ident: str, size: int, seed:
 def overlap_tertiles(rows: DataFrame, value: str) -> DataFrame:
     """Adds ``stratum``: low, middle or high by the mid-distribution of the value; equal values share a stratum.
 
-    Values are counted first; the running count is over different values.
+    A value is low if the rows below it and half of its own are a third of all at most, middle up to two thirds. So the value
+    at the rank of each third is a bound, and its own rows are counted to tell on which side they are.
     """
-    counts = rows.groupBy(value).agg(F.count("*").alias("_c"))
-    w = Window.orderBy(value)
-    below = F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = F.sum("_c").over(Window.partitionBy())
-    mid = 3 * (2 * below + F.col("_c"))
-    strata = counts.select(value, F.when(mid <= 2 * n, "low").when(mid <= 4 * n, "middle").otherwise("high").alias("stratum"))
-    return rows.join(strata, value)
+    from .order import select_ranks
+
+    counted = rows.where(F.col(value).isNotNull())
+    n = counted.count()
+    plain = counted.select(F.lit(1).alias("all"), F.col(value).alias("value"))
+    targets = rows.sparkSession.createDataFrame([(1, 0, n // 3), (1, 1, 2 * n // 3)], "all int, j int, k long")
+    bounds = {r["j"]: r["value"] for r in select_ranks(plain, targets, ["all"]).collect()}  # two values
+    if not bounds:
+        return counted.withColumn("stratum", F.lit("low"))
+    at = {j: counted.agg(F.count_if(F.col(value) < v).alias("b"), F.count_if(F.col(value) == v).alias("c")).first() for j, v in bounds.items()}
+    upto = lambda j: (F.col(value) <= bounds[j]) if 3 * (2 * at[j]["b"] + at[j]["c"]) <= 2 * (j + 1) * n else (F.col(value) < bounds[j])
+    return counted.withColumn("stratum", F.when(upto(0), "low").when(upto(1), "middle").otherwise("high"))
 
 
 def complete_pairs(queries: DataFrame) -> DataFrame:

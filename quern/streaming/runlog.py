@@ -123,22 +123,25 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def latency_report(samples: DataFrame, key: str, value: str) -> DataFrame:
-    """Linear percentiles per key."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return samples.groupBy(key).agg(F.count("*").alias("samples"), p.alias("p")).select(
-        key, "samples", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99")
-    )
+    """Linear percentiles per key; no task holds a key's samples."""
+    from quern.operators.order import linear_percentiles
+
+    p = linear_percentiles(samples.select(key, F.col(value).alias("value")), [key], [0.5, 0.95, 0.99])
+    return p.select(key, F.col("n").alias("samples"), *[F.col("values")[i].alias(c) for i, c in enumerate(("p50", "p95", "p99"))])
 
 
 def benchmark_report(samples: DataFrame, wall_seconds: float) -> DataFrame:
     """Throughput, error rate and latency of the successful ``samples(status, elapsed)``."""
+    from quern.operators.order import linear_percentiles
+
     ok = F.col("status") == 200
-    p = F.percentile(F.when(ok, F.col("elapsed")), F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    c = samples.agg(F.count("*").alias("requests"), F.count_if(ok).alias("succeeded"), p.alias("p"))
-    return c.select(
+    c = samples.agg(F.count("*").alias("requests"), F.count_if(ok).alias("succeeded"), F.lit(1).alias("_all"))
+    fine = samples.where(ok).select(F.lit(1).alias("_all"), F.col("elapsed").alias("value"))
+    p = linear_percentiles(fine, ["_all"], [0.5, 0.95, 0.99]).select("_all", "values")
+    return c.join(F.broadcast(p), "_all", "left").select(  # one row
         "requests", "succeeded", (F.col("succeeded") / F.lit(wall_seconds)).alias("qps"),
         F.expr("try_divide(requests - succeeded, requests)").alias("error_rate"),
-        F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"),
+        *[F.col("values")[i].alias(c) for i, c in enumerate(("p50", "p95", "p99"))],
     )
 
 
