@@ -9,21 +9,20 @@ from quern.functions import text as T
 from quern.operators import generation, lexical, pooling, stats
 
 from .registry import query
-from .retrieval import DENSE, GRAMS, PREFIX, TWO, benchmark, dense_run, documents, table, two_runs, two_systems
+from .retrieval import DENSE, GRAMS, PREFIX, TWO, benchmark, dense_run, documents, few, table, two_runs, two_systems
 
-#: p-values of the correction example, by family.
-P_VALUES = [
-    ("a", "x1", 0.01), ("a", "x2", 0.04), ("a", "x3", 0.03), ("a", "x4", 0.005), ("b", "y1", 0.2), ("b", "y2", 0.6), ("b", "y3", 0.2),
-]
-
-
-@query("""WITH p(family, name, p) AS (VALUES """ + ", ".join(f"('{a}', '{b}', CAST({c} AS DOUBLE))" for a, b, c in P_VALUES) + """),
+@query("""WITH c AS (SELECT event_type AS family, CAST(isodow(ts) AS VARCHAR) AS name, count(*) AS n, count(*) FILTER (value > 40) AS k FROM events GROUP BY ALL),
+p AS (SELECT family, name, round(2 / (1 + exp(1.702 * abs(2 * k - n) / sqrt(n))), 8) AS p FROM c),
 s AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, name) + 1) * p) AS step FROM p),
 a AS (SELECT *, max(step) OVER (PARTITION BY family ORDER BY p, name ROWS UNBOUNDED PRECEDING) AS adjusted FROM s)
 SELECT family, name, p, round(adjusted, 8) AS adjusted, bool_and(adjusted <= 0.05) OVER (PARTITION BY family ORDER BY p, name ROWS UNBOUNDED PRECEDING) AS reject FROM a""")
 def holm(spark, sf_dir):
-    rows = spark.createDataFrame(P_VALUES, "family string, name string, p double")
-    return stats.holm(rows).withColumn("adjusted", F.round("adjusted", 8))
+    """For each kind of event, a family of sign tests by weekday: do as many values lie above 40 as below? The normal tail
+    of the two-sided p-values is that of the logistic approximation."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("family"), (F.weekday("ts") + 1).cast("string").alias("name"), (F.col("value") > 40).alias("above"))
+    c = rows.groupBy("family", "name").agg(F.count("*").alias("n"), F.count_if("above").alias("k"))
+    p = F.round(2 / (1 + F.exp(1.702 * F.abs(2 * F.col("k") - F.col("n")) / F.sqrt("n"))), 8)
+    return stats.holm(c.select("family", "name", p.alias("p"))).withColumn("adjusted", F.round("adjusted", 8))
 
 
 @query(TWO + """, c AS (SELECT count(*) FILTER (b > 0 AND t = 0) AS only_baseline, count(*) FILTER (b = 0 AND t > 0) AS only_treatment FROM u),
@@ -156,7 +155,7 @@ def bigram_containment(spark, sf_dir):
     q = lexical.query_terms(benchmark(spark, sf_dir)).withColumnRenamed("query_id", "item_id")
     n = q.groupBy("item_id").agg(F.count("*").alias("n"))
     t = documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(T.char_ngrams(F.col("text"), 2))).alias("term"))
-    out = t.join(F.broadcast(q), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("c")).join(F.broadcast(n), "item_id")
+    out = t.join(few(q), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("c")).join(few(n), "item_id")
     return out.select("item_id", "doc_id", F.round(F.col("c") / F.col("n"), 8).alias("containment"))
 
 

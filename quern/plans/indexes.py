@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import families, judgements, sparse_index
+from quern.operators.order import numbered
 
 from .registry import query
 from .retrieval import (
@@ -202,10 +203,7 @@ def dimension_variance(spark, sf_dir):
 @query("""WITH q AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS pos, count(*) OVER () AS n FROM benchmark)
 SELECT i AS request, item_id AS query_id FROM range(0, 1000) r(i) JOIN q ON pos = (i + 7) % n""")
 def query_schedule(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = benchmark(spark, sf_dir).withColumn("pos", F.row_number().over(Window.orderBy("query_id")) - 1)
-    return judgements.query_schedule(rows, 1000, 7)
+    return judgements.query_schedule(numbered(benchmark(spark, sf_dir), ["query_id"], "pos"), 1000, 7)
 
 
 @query("""SELECT 'lang' AS field, lang AS value, count(*) AS count FROM documents GROUP BY ALL

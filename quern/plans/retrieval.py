@@ -79,10 +79,25 @@ def stable(run: DataFrame) -> DataFrame:
     return run.select("query_id", "doc_id", F.round("score", 8).alias("score"), "rank")
 
 
+#: A vector is relevant to a query if its number is at most so far away, and by its label: a query has a bounded number of them.
+NEAR_IDS = 150
+#: Rows of a small side that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """(query_id, query_label, doc_id, label): each query of ``rows`` with the vectors of the numbers around its own."""
+    near = F.explode(F.sequence(F.col("doc_id") - NEAR_IDS, F.col("doc_id") + NEAR_IDS)).alias("near")
+    q = rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("label").alias("query_label"), near)
+    return rows.select("doc_id", "label").join(q.where("near <> query_id").withColumnRenamed("near", "doc_id"), "doc_id")
+
+
 def label_qrels(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    q = rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "label")
-    return rows.join(F.broadcast(q), "label").where("doc_id <> query_id").select("query_id", "doc_id", F.lit(1).alias("grade"))
+    return neighbours(vectors(spark, sf_dir)).where("label = query_label").select("query_id", "doc_id", F.lit(1).alias("grade"))
 
 
 @query("WITH " + TF + " SELECT doc_id, term, tf FROM tf")
@@ -203,14 +218,14 @@ def hybrid_search(spark, sf_dir):
     """Benchmark item i asks with its text and with vector i; documents and vectors are joined on their number."""
     items, rows = benchmark(spark, sf_dir), vectors(spark, sf_dir)
     sparse = lexical.bm25_topk(documents(spark, sf_dir), items, 100)
-    asked = rows.join(F.broadcast(items.select(F.col("query_id").alias("doc_id"))), "doc_id", "left_semi")
+    asked = rows.join(few(items.select(F.col("query_id").alias("doc_id"))), "doc_id", "left_semi")
     near = stable(dense.dense_topk(rows, asked.select(F.col("doc_id").alias("query_id"), "v"), 100))
     out = fusion.hybrid(sparse, near)
     return out.select("query_id", "doc_id", F.round(F.col("score").cast("double"), 8).alias("score"), "rank")
 
 
-QRELS = """,
-qrels AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id FROM v q JOIN v c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)"""
+QRELS = f""",
+qrels AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id FROM v q JOIN v c ON q.label = c.label AND q.vec_id <> c.vec_id AND abs(c.vec_id - q.vec_id) <= {NEAR_IDS} WHERE q.vec_id % 100 = 0)"""
 PER_QUERY = QRELS + """,
 j_{run} AS (SELECT query_id, doc_id, rank FROM qrels LEFT JOIN (SELECT query_id, doc_id, rank FROM {run} WHERE rank <= 100) r USING (query_id, doc_id)),
 m_{run} AS (
@@ -246,18 +261,16 @@ def arity_report(spark, sf_dir):
     return rounded(metrics.arity_report(dense_metrics(spark, sf_dir)), "n_gold", "queries")
 
 
-@query("WITH " + DENSE + """,
+@query("WITH " + DENSE + f""",
 qg AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, CASE WHEN q.label = c.label THEN 2 ELSE 1 END AS grade
-       FROM v q JOIN v c ON q.vec_id <> c.vec_id AND abs(q.label - c.label) <= 1 WHERE q.vec_id % 100 = 0),
+       FROM v q JOIN v c ON q.vec_id <> c.vec_id AND abs(q.label - c.label) <= 1 AND abs(c.vec_id - q.vec_id) <= {NEAR_IDS} WHERE q.vec_id % 100 = 0),""" + """
 i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS ideal FROM qg),
 j AS (SELECT i.*, r.rank FROM i LEFT JOIN (SELECT * FROM dense WHERE rank <= 100) r USING (query_id, doc_id))
 SELECT query_id, round(coalesce(CAST(sum(CAST((pow(2, grade) - 1) / log2(rank + 1) AS DECIMAL(18, 10))) FILTER (rank <= 10) AS DOUBLE), 0)
        / CAST(sum(CAST((pow(2, grade) - 1) / log2(ideal + 1) AS DECIMAL(18, 10))) FILTER (ideal <= 10) AS DOUBLE), 6) AS ndcg FROM j GROUP BY 1""")
 def graded_ndcg(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    q = rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("label").alias("ql"))
-    grade = F.when(F.col("label") == F.col("ql"), 2).otherwise(1)
-    qrels = rows.join(F.broadcast(q), (F.abs(F.col("label") - F.col("ql")) <= 1) & (F.col("doc_id") != F.col("query_id")))
+    grade = F.when(F.col("label") == F.col("query_label"), 2).otherwise(1)
+    qrels = neighbours(vectors(spark, sf_dir)).where("abs(label - query_label) <= 1")
     out = metrics.graded_ndcg(dense_run(spark, sf_dir), qrels.select("query_id", "doc_id", grade.alias("grade")))
     return out.select("query_id", F.round("ndcg", 6).alias("ndcg"))
 
