@@ -156,16 +156,15 @@ def pair_aggregates(pairs: DataFrame, batch: int = 10) -> DataFrame:
 
 
 def overlap_summary(rows: DataFrame, value: str = "overlap") -> DataFrame:
-    """(variant, n, mean, p10, p50, p90) of ``rows(variant, id, value)``; percentiles are values at floor(n * share).
-
-    One variant holds one value a question, so its order is one task's work; the mean rounds to four places.
-    """
-    w = Window.partitionBy("variant").orderBy(value, "id")
-    placed = rows.withColumn("_at", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("variant")))
-    pick = lambda p: F.round(F.max(F.when(F.col("_at") == F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col(value))), 4)
-    return placed.groupBy("variant").agg(
-        F.count("*").alias("n"), F.round(exact_mean(F.col(value)), 4).alias("mean"), pick(0.1).alias("p10"), pick(0.5).alias("p50"), pick(0.9).alias("p90")
-    )
+    """(variant, n, mean, p10, p50, p90) of ``rows(variant, id, value)``; percentiles are values at floor(n * share), the mean
+    rounds to four places. No task holds a variant's values."""
+    from .order import nearest_percentiles
+
+    plain = rows.select("variant", F.col(value).alias("value"))
+    p = nearest_percentiles(plain, ["variant"], [0.1, 0.5, 0.9])
+    means = plain.groupBy("variant").agg(F.round(exact_mean(F.col("value")), 4).alias("mean"))
+    at = lambda i, c: F.round(F.col("values")[i], 4).alias(c)
+    return p.join(means, "variant").select("variant", "n", "mean", at(0, "p10"), at(1, "p50"), at(2, "p90"))
 
 
 def dimension_variance(vectors: DataFrame, bands: int = 8) -> DataFrame:

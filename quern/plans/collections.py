@@ -23,6 +23,19 @@ SELECT coalesce(plan.key, prev.key) AS key, CASE WHEN plan.key IS NULL THEN CASE
   WHEN prev.key IS NULL THEN 'added' WHEN plan.s <> prev.s THEN 'updated' WHEN plan.m <> prev.m THEN 'metadata_only' ELSE 'unchanged' END AS delta
 FROM plan FULL JOIN prev ON plan.key = prev.key LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS key FROM documents) l ON l.key = coalesce(plan.key, prev.key)""")
 def document_delta(spark, sf_dir):
+    return states_delta(spark, sf_dir)
+
+
+@query("WITH " + PREVIOUS + """, d AS (
+SELECT CASE WHEN plan.key IS NULL THEN CASE WHEN l.key IS NOT NULL THEN 'out_of_scope' ELSE 'deleted' END
+  WHEN prev.key IS NULL THEN 'added' WHEN plan.s <> prev.s THEN 'updated' WHEN plan.m <> prev.m THEN 'metadata_only' ELSE 'unchanged' END AS delta
+FROM plan FULL JOIN prev ON plan.key = prev.key LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS key FROM documents) l ON l.key = coalesce(plan.key, prev.key))
+SELECT """ + ", ".join(f"count(*) FILTER (delta = '{d}') AS {d}" for d in ingest.DELTAS) + " FROM d")
+def delta_counts(spark, sf_dir):
+    return ingest.delta_counts(states_delta(spark, sf_dir))
+
+
+def states_delta(spark, sf_dir):
     """Documents without French against a previous state without Spanish, with some sources changed."""
     rows = table(spark, sf_dir, "documents")
     key = F.col("doc_id").cast("string")

@@ -236,8 +236,10 @@ def rouge_l(spark, sf_dir):
     return generation.rouge_l(answer_pairs(spark, sf_dir))
 
 
-@query("""SELECT 'none' AS sentinel, count(*) AS turns FROM conversations WHERE NOT contains(coalesce(text, ''), '""" + generation.SENTINEL + """') HAVING count(*) > 0
-UNION ALL SELECT 'near', count(*) FROM conversations WHERE contains(text, '""" + generation.SENTINEL + """') HAVING count(*) > 0""")
+@query("""SELECT CASE WHEN contains(coalesce(text, ''), '""" + generation.SENTINEL + """') THEN 'near' ELSE ['none', 'exact', 'normalized', 'near'][(conv_id + turn) % 4 + 1] END AS sentinel, count(*) AS turns FROM conversations GROUP BY 1""")
 def sentinel(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select(F.col("text").alias("answer"))
+    """Every fourth turn stands as it is; the others are answers that are the sentinel, quote it, or hold it beside their text."""
+    said = F.lit(generation.SENTINEL)
+    made = F.element_at(F.array(F.col("text"), said, F.concat(F.lit(" \u201c"), said, F.lit("\u201d\u3002 ")), F.concat_ws(" ", F.coalesce("text", F.lit("x")), said)), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select(F.when(F.col("text").contains(generation.SENTINEL), F.concat(F.lit("x "), "text")).otherwise(made).alias("answer"))
     return generation.classify_answers(rows).groupBy("sentinel").agg(F.count("*").alias("turns"))

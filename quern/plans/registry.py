@@ -23,7 +23,7 @@ def query(oracle: str | None = None):
 
 
 def _load() -> None:
-    from . import collections, evaluation, indexes, profiles, retrieval, vectors  # noqa: F401 - they register themselves
+    from . import collections, evaluation, indexes, profiles, retrieval, runs, vectors  # noqa: F401 - they register themselves
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
