@@ -27,8 +27,8 @@ SLICE, BLOCK_SETS, GROUP_BYTES = 4096, 10_000, 8 << 20
 #: their own.
 OWN_SETS = 4
 #: Rounds in which a set is verified with its nearest one in another component before all remaining pairs are; sets of a key
-#: compared in one block.
-NEAREST_ROUNDS, BLOCK = 2, 1024
+#: compared in one block; rows of a group whose pairs are compared together with those of other groups.
+NEAREST_ROUNDS, BLOCK, SMALL = 2, 1024, 8
 #: Rows of two numbers that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -223,48 +223,61 @@ def nearest_only(found: np.ndarray) -> np.ndarray:
 def compare(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
     """(a, b, d) of rows ``(band, i, j, block, id, component, n, s0, ...)`` sorted by band, i and j: sets of block i with those of
     block j that lie in different components, may link by their sizes and are within LIMIT; each pair under its first key only.
-    ``nearest``: of each set's pairs in a group the nearest one."""
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        col = lambda name: rows.column(name).to_numpy()
-        band, i, j = (rows.column(c)[0].as_py() for c in ("band", "i", "j"))
-        ids, component, n, block = col("id"), col("component"), col("n"), col("block")
-        cells = np.ascontiguousarray(np.stack([col(s) for s in _SIGNS], 1)).view(np.uint8).reshape(len(ids), CELLS_ALL)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    ``nearest``: of each set's pairs in a group of more than SMALL rows the nearest one.
+
+    The pairs of all small groups of a batch are compared at once, those of a larger group 64 sets at a time.
+    """
+    names = ("band", "i", "j", "block", "id", "component", "n")
+
+    def near(rows: dict, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(rows["n"][p], rows["n"][q]), np.maximum(rows["n"][p], rows["n"][q])
+        may = np.flatnonzero((rows["component"][p] != rows["component"][q]) & (DEN * small >= NUM * large))
         out = []
-        for at in range(0, len(left), 64):
-            some = left[at : at + 64]
-            apart = component[some][:, None] != component[right][None]
-            if i == j:
-                apart &= some[:, None] < right[None]
-            small, large = np.minimum(n[some][:, None], n[right][None]), np.maximum(n[some][:, None], n[right][None])
-            x, y = np.nonzero(apart & (DEN * small >= NUM * large))
-            for start in range(0, len(x), 65_536):
-                p, q = some[x[start : start + 65_536]], right[y[start : start + 65_536]]
-                d = (cells[p] != cells[q]).sum(1)
-                p, q, d = p[d <= LIMIT], q[d <= LIMIT], d[d <= LIMIT]
-                first = first_key(cells[p], cells[q]).view(np.int64) == band if len(p) else np.zeros(0, bool)
-                x1, x2 = ids[p[first]], ids[q[first]]
-                out.append(np.stack([np.minimum(x1, x2), np.maximum(x1, x2), d[first]], 1))
-        found = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-        found = nearest_only(found) if nearest and len(found) else found
+        for at in range(0, len(may), 65_536):
+            x, y = p[may[at : at + 65_536]], q[may[at : at + 65_536]]
+            d = (rows["cells"][x] != rows["cells"][y]).sum(1)
+            x, y, d = x[d <= LIMIT], y[d <= LIMIT], d[d <= LIMIT]
+            if len(x):
+                first = first_key(rows["cells"][x], rows["cells"][y]).view(np.int64) == rows["band"][x]
+                one, two = rows["id"][x[first]], rows["id"][y[first]]
+                out.append(np.stack([np.minimum(one, two), np.maximum(one, two), d[first]], 1))
+        return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+
+    def groups(rows: dict, starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+        sizes = ends - starts
+        for size in range(2, SMALL + 1):
+            some = starts[sizes == size][:, None]
+            x, y = np.triu_indices(size, 1)
+            yield near(rows, (some + x).ravel(), (some + y).ravel())
+        for at, end in zip(starts[sizes > SMALL].tolist(), ends[sizes > SMALL].tolist()):
+            i, j, block = rows["i"][at], rows["j"][at], rows["block"][at:end]
+            left, right = np.flatnonzero(block == i) + at, np.flatnonzero(block == j) + at
+            found = []
+            for k in range(0, len(left), 64):
+                some = left[k : k + 64]
+                x, y = np.nonzero(some[:, None] < right[None] if i == j else np.ones((len(some), len(right)), bool))
+                found.append(near(rows, some[x], right[y]))
+            both = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+            yield nearest_only(both) if nearest and len(both) else both
+
+    def result(parts: Iterator[np.ndarray]) -> pa.RecordBatch:
+        found = np.concatenate([np.zeros((0, 3), np.int64), *parts])
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k]), pa.int64()) for k in range(3)], ["a", "b", "d"])
 
-    held: list[pa.Table] = []
-    last = None
+    held: dict | None = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        keys = [table.column(c).to_numpy() for c in ("band", "i", "j")]
-        starts = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))).tolist() if len(table) else []
-        for a, b in zip(starts, [*starts[1:], len(table)]):
-            key = tuple(int(k[a]) for k in keys)
-            if key != last and held:
-                yield pairs(pa.concat_tables(held))
-                held = []
-            held.append(table.slice(a, b - a))
-            last = key
+        if not batch.num_rows:
+            continue
+        rows = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(names)}
+        cells = np.stack([batch.column(len(names) + k).to_numpy(zero_copy_only=False) for k in range(len(_SIGNS))], 1)
+        rows["cells"] = np.ascontiguousarray(cells).view(np.uint8).reshape(batch.num_rows, CELLS_ALL)
+        rows = {c: np.concatenate([held[c], rows[c]]) for c in rows} if held else rows
+        new = np.logical_or.reduce([rows[c][1:] != rows[c][:-1] for c in ("band", "i", "j")])
+        starts = np.flatnonzero(np.append(True, new))
+        yield result(groups(rows, starts[:-1], starts[1:]))
+        held = {c: v[starts[-1] :] for c, v in rows.items()}  # the last group may go on
     if held:
-        yield pairs(pa.concat_tables(held))
+        yield result(groups(held, np.array([0]), np.array([len(held["id"])])))
 
 
 def crossing(members: DataFrame, label: DataFrame, signs: DataFrame, nearest: bool) -> DataFrame:

@@ -75,7 +75,7 @@ ODD = [None, "", " \n\t", "one", "One", "two words", "two  words", "a b c d", "A
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_dedup_against_brute_force(rows, monkeypatch, seed):
     if seed == 2:  # every way of the joins, on small data
-        for name, value in (("BLOCK_SETS", 20), ("OWN_SETS", 2), ("BLOCK", 3), ("NEAREST_ROUNDS", 1), ("BROADCAST_IDS", 0)):
+        for name, value in (("BLOCK_SETS", 20), ("OWN_SETS", 2), ("BLOCK", 3), ("SMALL", 3), ("NEAREST_ROUNDS", 1), ("BROADCAST_IDS", 0)):
             monkeypatch.setattr(near_dedup, name, value)
     texts = families(seed, 18) + ODD
     docs = [(1000 - 3 * i, t) for i, t in enumerate(texts)]
