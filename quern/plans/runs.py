@@ -1,10 +1,10 @@
-"""Registered queries: leases, commands and invocations of runs, complete pairs, and overlaps of questions and documents."""
+"""Registered queries: leases, commands and invocations of runs, complete pairs, overlaps, and quotes found in documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import judgements, pooling
+from quern.operators import judgements, pooling, quotes
 from quern.sources import files
 from quern.streaming import runlog
 
@@ -103,3 +103,19 @@ def strict_cache(spark, sf_dir):
     """Vectors as a cache that must hold exactly the wanted ids."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.size("embedding").cast("long").alias("width"))
     return files.strict_cache(rows, ["doc_id"], rows.select("doc_id"))
+
+
+def _plain(column: str) -> str:
+    form = column
+    for pattern, keep in ((quotes._KEPT[0], "\\1"), (quotes._KEPT[1], ""), (quotes._KEPT[2], ""), (quotes._GONE, "")):
+        form = f"regexp_replace({form}, '{pattern}', '{keep}', 'g')"
+    return f"replace(lower({form}), 'ß', 'ss')"
+
+
+@query(f"""WITH q AS (SELECT item_id, {_plain('text')} AS q FROM benchmark WHERE text IS NOT NULL), d AS (SELECT doc_id, {_plain('text')} AS t FROM documents WHERE text IS NOT NULL)
+SELECT item_id, doc_id, CAST((length(t) - length(replace(t, q, ''))) / length(q) AS BIGINT) AS times FROM q JOIN d ON contains(t, q) WHERE q <> ''""")
+def quoted_passages(spark, sf_dir):
+    """How often each benchmark text stands in each document, whatever the wrapping and markup."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    found = quotes.quote_places(table(spark, sf_dir, "documents").select("doc_id", "text"), asked)
+    return found.groupBy(F.col("quote_id").alias("item_id"), "doc_id").agg(F.count("*").alias("times"))
