@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.sources.staging import Staging
 
-from .dense import dot
-from .lexical import EXACT, top_k
+from .dense import dot, nearest as nearest_k
+from .lexical import EXACT
 
 #: Cells at most (their centroids are broadcast), training vectors per cell, and rounds of training.
 MAX_CELLS, SAMPLE_PER_CELL, ROUNDS = 4096, 256, 8
@@ -232,7 +232,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int, count: int, include_s
     """
     staging, asked = Staging(index.spark, "ann-search"), usable(queries)
     probed = staging.table(probes(index, asked, count))
-    return top_k(scored(index, asked, probed, include_self), k)
+    return nearest_k(scored(index, asked, probed, include_self), k)
 
 
 def search_exact(index: VectorIndex, queries: DataFrame, k: int, count: int, include_self: bool = False) -> DataFrame:
@@ -240,12 +240,12 @@ def search_exact(index: VectorIndex, queries: DataFrame, k: int, count: int, inc
     exact scan, reading the cells that can matter."""
     staging, asked = Staging(index.spark, "ann-exact"), usable(queries)
     probed = staging.table(probes(index, asked, count))
-    near = staging.table(top_k(scored(index, asked, probed, include_self), k))
+    near = staging.table(nearest_k(scored(index, asked, probed, include_self), k))
     seen = probed.groupBy("query_id").agg(F.collect_list("cell").alias("cells"))  # a query's cells, MAX_CELLS at most
     last = near.where(F.col("rank") == k).select("query_id", "score")
     more = staging.table(farther_cells(index, asked, seen.join(last, "query_id", "left"), k))
     both = near.select("query_id", "doc_id", "score").unionByName(scored(index, asked, more, include_self))
-    return top_k(both, k)
+    return nearest_k(both, k)
 
 
 def rows_read(index: VectorIndex, probed: DataFrame) -> DataFrame:

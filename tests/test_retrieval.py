@@ -110,3 +110,29 @@ def test_paired_counts(rows):
     c = metrics.contingency(b, t).first()
     assert (c["both_hit"], c["only_baseline"], c["only_treatment"], c["neither"], c["phi"]) == (1, 1, 1, 1, 0.0)
     assert metrics.contingency(b.where("value > 0"), t.where("value > 0")).first()["phi"] == 0
+
+
+def test_dense_scores_tie_to_eight_places_and_are_those_of_pairs(rows):
+    # cosines 1 and 1 - 1.25e-9: equal to eight places, so the smaller id is first; a null and a wider vector come last
+    v = rows("doc_id int, v array<double>", [(1, [1.0, 5e-5]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [1.0, 0.0, 0.0])])
+    q = rows("query_id int, v array<double>", [(9, [1.0, 0.0])])
+    got = dense.dense_topk(v, q, 9).orderBy("rank").collect()
+    assert [r["doc_id"] for r in got] == [1, 2, 3, 4, 5] and [r["score"] is None for r in got] == [False] * 3 + [True] * 2
+    assert got[0]["score"] < got[1]["score"] == 1
+    pairs = {r["doc_id"]: r["score"] for r in dense.pair_scores(rows("query_id int, doc_id int", [(9, 1), (9, 3)]), v, q).collect()}
+    assert pairs == {1: got[0]["score"], 3: got[2]["score"]}
+    with pytest.raises(PySparkException):
+        dense.dense_topk(rows("doc_id int, v array<double>", [(1, [0.0, 0.0])]), q, 1).collect()
+
+
+def test_dense_copies_and_sequential_sums(rows):
+    v = [(i, [float((i * 37 + j * 11) % 23 - 11) / 7 for j in range(24)]) for i in range(120)]
+    data = v + [(1000 + i, v[5][1]) for i in range(300)]  # a large group of copies
+    some = [(q, x) for q, x in data if q in (5, 7, 1003)]
+    got = {}
+    for r in dense.dense_topk(rows("doc_id int, v array<double>", data), rows("query_id int, v array<double>", some), 8).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], float(r["score"])))
+    for q, x in some:
+        dot = lambda a, b: sum(s * t for s, t in zip(a, b))
+        scored = [(-round(dot(x, y) / (math.sqrt(dot(x, x)) * math.sqrt(dot(y, y))), 8), d) for d, y in data if d != q]
+        assert [(i, d) for i, d, _ in sorted(got[q])] == [(i, d) for i, (_, d) in enumerate(sorted(scored)[:8], 1)]
