@@ -46,15 +46,25 @@ DEFAULT: dict[str, Metric] = {"R@1": recall(1), "MRR@10": reciprocal_rank(10), "
 
 def score_queries(run: DataFrame, qrels: DataFrame, metrics: dict[str, Metric] | None = None) -> DataFrame:
     """(query_id, metric, value) of every judged query; one that the run does not answer has value 0."""
+    return score_ranks(judged_ranks(run, qrels), F.count("*"), metrics)
+
+
+def score_ranks(ranks: DataFrame, n_gold: Column, metrics: dict[str, Metric] | None = None) -> DataFrame:
+    """``score_queries`` from ``ranks(query_id, rank)`` and the aggregate ``n_gold``, as for ``metrics.rank_metrics``."""
     chosen = DEFAULT if metrics is None else metrics
-    found = judged_ranks(run, qrels).groupBy("query_id").agg(F.sort_array(F.collect_list("rank")).alias("r"), F.count("*").alias("n"))
+    found = ranks.groupBy("query_id").agg(F.sort_array(F.collect_list("rank")).alias("r"), n_gold.alias("n"))
     rows = [F.struct(F.lit(name).alias("metric"), f(F.col("r"), F.col("n")).cast("double").alias("value")) for name, f in chosen.items()]
     return found.select("query_id", F.explode(F.array(*rows)).alias("m")).select("query_id", "m.metric", "m.value")
 
 
 def evaluate(run: DataFrame, qrels: DataFrame, metrics: dict[str, Metric] | None = None, **options) -> DataFrame:
     """(metric, mean, low, high, n): the named metrics over all judged queries with seeded bootstrap intervals."""
-    rows = score_queries(run, qrels, metrics).select("metric", F.col("query_id").alias("unit_id"), F.lit(None).cast("string").alias("cluster"), "value")
+    return evaluate_scores(score_queries(run, qrels, metrics), **options)
+
+
+def evaluate_scores(scores: DataFrame, **options) -> DataFrame:
+    """``evaluate`` from ``scores(query_id, metric, value)``."""
+    rows = scores.select("metric", F.col("query_id").alias("unit_id"), F.lit(None).cast("string").alias("cluster"), "value")
     return stats.bootstrap_table(rows, ["metric"], **options)
 
 

@@ -136,3 +136,26 @@ def test_dense_copies_and_sequential_sums(rows):
         dot = lambda a, b: sum(s * t for s, t in zip(a, b))
         scored = [(-round(dot(x, y) / (math.sqrt(dot(x, x)) * math.sqrt(dot(y, y))), 8), d) for d, y in data if d != q]
         assert [(i, d) for i, d, _ in sorted(got[q])] == [(i, d) for i, (_, d) in enumerate(sorted(scored)[:8], 1)]
+
+
+def test_counted_relevance_equals_listed_relevance(rows):
+    data = [("a", 1, "d1"), ("a", 2, "d2"), ("b", 1, "d1"), ("c", 1, "d9")]
+    run = rows("query_id string, rank int, doc_id string", data)
+    listed = [("a", f"d{i}", 2 if i % 3 else 1) for i in range(2, 30)] + [("b", "d2", 1), ("c", "d9", 2), ("c", "d3", 2)]
+    qrels = rows("query_id string, doc_id string, grade int", listed)
+    found = rows("query_id string, n_gold long, grade int, rank int", [("a", 28, 2, 2), ("b", 1, None, None), ("c", 2, 2, 1)])
+    n = F.max("n_gold")
+    assert sorted(metrics.rank_metrics(found, n).collect()) == sorted(metrics.per_query(run, qrels).collect())
+    assert sorted(metrics.rank_buckets(found).collect()) == sorted(metrics.first_gold_buckets(run, qrels).collect())
+    assert sorted(metrics.rank_outcome(found).collect()) == sorted(metrics.retrieval_outcome(run, qrels).collect())
+    grades = qrels.groupBy("query_id", "grade").agg(F.count("*").alias("n"))
+    assert sorted(metrics.graded_ndcg_of(found.where("rank is not null"), grades).collect()) == sorted(metrics.graded_ndcg(run, qrels).collect())
+
+
+def test_all_vectors_of_a_label_are_relevant(spark, tmp_path):
+    from quern.plans import registry
+
+    data = [(i, [math.cos(i), math.sin(i)] + [0.5] * 62, i % 2) for i in range(700)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["ir_metrics"](spark, str(tmp_path)).collect()
+    assert {r["query_id"]: r["n_gold"] for r in got} == {i: 349 for i in range(0, 700, 100)}
