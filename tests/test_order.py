@@ -114,3 +114,12 @@ def test_chunk_profile(rows):
     assert r["over_trigger"] == r["protected_fence"] == 1 and r["over_rate"] == 1 / len(sizes) and r["p50"] == pytest.approx((sizes[0] + sizes[1]) / 2)
     with pytest.raises(Exception, match="over the limit"):
         chunking.chunk_profile(chunks, 600, 100).collect()
+
+
+def test_chunk_profile_of_a_paragraph_over_the_limit(spark, tmp_path):
+    from quern.plans import registry
+
+    data = [(1, "word " * 40_000), (2, "short"), (3, None)]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = registry.queries()["chunk_profile"](spark, str(tmp_path)).first()
+    assert (r["documents"], r["chunks"], r["over_trigger"], r["indivisible_paragraph"]) == (2, 2, 1, 1) and r["largest_input"] == r["max"] > 8192
