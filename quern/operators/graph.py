@@ -82,7 +82,9 @@ def greedy_independent(edges: DataFrame) -> DataFrame:
         left = left.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
         decided += [first.withColumn("kept", F.lit(True)), gone.withColumn("kept", F.lit(False))]
         # a vertex all of whose earlier neighbours went, and whose later ones went too, has no edge left: it stays
-        open_, rounds = staging.table(left.select("a", "b")), rounds + 1
+        done, open_, rounds = open_, staging.table(left.select("a", "b")), rounds + 1
+        if done is not every:
+            staging.drop(done)
     out = every.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if not decided:
         return out.withColumn("kept", F.lit(True))

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions.text import keyed_digest
+from quern.sources.staging import Staging
 
 from . import graph
 from .ingest import require
 
+#: Pairs of prefixes a set beyond which all sets are compared in blocks; sets and grams of a block, sets of a group, and groups
+#: (28 pairs of them) where there are enough sets.
+PREFIX_PAIRS, BLOCK_SETS, BLOCK_GRAMS, GROUP_SETS, GROUPS = 50, 2048, 4096, 32_768, 7
 SAMPLE_SCHEMA, ORDER_SCHEMA = "quern-sample-v1", "quern-judging-order-v1"
 
 
@@ -83,18 +91,88 @@ def complete_pairs(queries: DataFrame) -> DataFrame:
     return queries.join(whole, "chunk_id", "left_semi")
 
 
+def set_rows(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and member of each member of the lists."""
+    flat = pa.concat_arrays(lists.chunks)
+    return pc.list_parent_indices(flat).to_numpy(), flat.flatten().to_numpy()
+
+
+def shared_counts(left: tuple, right: tuple, first: int, other: int) -> np.ndarray:
+    """[left, right]: how many members the sets of BLOCK_SETS rows from ``first`` and from ``other`` on share."""
+    near = lambda rows, start: slice(*np.searchsorted(rows, (start, start + BLOCK_SETS)))
+    at, to = near(left[0], first), near(right[0], other)
+    common, x, y = np.intersect1d(left[1][at], right[1][to]), left[1][at], right[1][to]
+    counts = np.zeros((BLOCK_SETS, BLOCK_SETS), np.float32)
+    for start in range(0, len(common), BLOCK_GRAMS):
+        part = common[start : start + BLOCK_GRAMS]
+        both = []
+        for rows, members in ((left[0][at] - first, x), (right[0][to] - other, y)):
+            place = np.searchsorted(part, members)
+            place[place == len(part)] = 0
+            here = part[place] == members
+            table = np.zeros((BLOCK_SETS, len(part)), np.float32)
+            table[rows[here], place[here]] = 1
+            both.append(table)
+        counts += both[0] @ both[1].T
+    return counts
+
+
+def block_pairs(sets: DataFrame, count: int, threshold: float) -> DataFrame:
+    """(earlier, later, similarity) of ``sets(id, n, g)``, every pair compared once: sets are dealt into groups, and each pair
+    of groups is one task's work, which multiplies tables of sets by grams, BLOCK_SETS rows at a time. The work is that
+    of all pairs; only pairs over the threshold leave a task."""
+    groups = max(-(-count // GROUP_SETS), min(GROUPS, -(-count // BLOCK_SETS)))
+    p, x = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    dealt = sets.withColumn("p", p).withColumn("x", x).select("id", "n", "g", "p", F.least("p", "x").alias("i"), F.greatest("p", "x").alias("j"))
+    kind = sets.schema["id"].dataType
+    empty = pa.schema([("a", to_arrow_type(kind)), ("b", to_arrow_type(kind)), ("n", pa.int32()), ("c", pa.int32())]).empty_table()
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key)
+        left = table.filter(pc.equal(table["p"], i))
+        right = left if i == j else table.filter(pc.equal(table["p"], j))
+        if not (left.num_rows and right.num_rows):
+            return empty
+        sizes = [t["n"].to_numpy().astype(np.float64) for t in (left, right)]
+        members, out = [set_rows(t["g"]) for t in (left, right)], []
+        for first in range(0, left.num_rows, BLOCK_SETS):
+            for other in range(first if i == j else 0, right.num_rows, BLOCK_SETS):
+                n_a, n_b = sizes[0][first : first + BLOCK_SETS], sizes[1][other : other + BLOCK_SETS]
+                c = shared_counts(*members, first, other)[: len(n_a), : len(n_b)]
+                share = threshold / (1 + threshold)
+                a, b = np.nonzero((c > 0) & (c >= (share * n_a - 1e-3).astype(np.float32)[:, None] + (share * n_b).astype(np.float32)))
+                shared, n = c[a, b].astype(np.float64), n_a[a] + n_b[b]
+                ok = shared / (n - shared) >= threshold
+                if i == j and first == other:
+                    ok &= a < b
+                out.append((a[ok] + first, b[ok] + other, n[ok], shared[ok]))
+        a, b, n, c = (np.concatenate(x) for x in zip(*out))
+        columns = [left["id"].take(pa.array(a)), right["id"].take(pa.array(b)), pa.array(n.astype(np.int32)), pa.array(c.astype(np.int32))]
+        return pa.table(columns, ["a", "b", "n", "c"])
+
+    kind = kind.simpleString()
+    found = dealt.groupBy("i", "j").applyInArrow(compare, f"a {kind}, b {kind}, n int, c int")
+    similarity = F.col("c") / (F.col("n") - F.col("c"))
+    return found.select(F.least("a", "b").alias("earlier"), F.greatest("a", "b").alias("later"), similarity.alias("similarity"))
+
+
 def near_questions(rows: DataFrame, grams: Column, ident: str, threshold: float) -> DataFrame:
     """(earlier, later, similarity): pairs with Jaccard similarity >= threshold, proposed by prefix filtering.
 
     A set is the 64-bit hashes of its grams, rare first. Two sets over the threshold share one of the first
     n - ceil(threshold * n) + 1, have sizes within the threshold, and enough grams behind the shared one (positional
     filter): all is known where prefixes meet, before pairs are made. A pair's sets are intersected once.
+    The pairs whose prefixes meet are counted first. Where they are more than PREFIX_PAIRS a set, as in texts of few
+    different grams, all sets are compared in blocks instead (``block_pairs``), and only what is similar is written.
     """
     gram = rows.select(F.col(ident).alias("id"), F.explode(F.array_distinct(grams)).alias("gram")).select("id", F.xxhash64("gram").alias("h"))
     df = gram.groupBy("h").agg(F.count("*").alias("df"))
     ordered = gram.join(df, "h").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("s"))
-    sets = ordered.select("id", F.size("s").alias("n"), F.col("s.h").alias("g"))
+    sets = Staging(rows.sparkSession, "questions").table(ordered.select("id", F.size("s").alias("n"), F.col("s.h").alias("g")))
     prefix = sets.select("id", "n", F.posexplode(F.slice("g", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).cast("int"))).alias("at", "h"))
+    met = prefix.groupBy("h").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0]
+    if (met or 0) > PREFIX_PAIRS * (count := sets.count()):
+        return block_pairs(sets, count, threshold)
     a, b = (prefix.select("h", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), (F.col("n") - F.col("at")).alias(f"rest_{x}")) for x in ("earlier", "later"))
     both = F.col("n_earlier") + F.col("n_later")
     pairs = a.join(b, "h").where(
@@ -135,7 +213,7 @@ def dedupe_questions(rows: DataFrame, grams: Column, threshold: float = 0.85) ->
     chunks = require(whole, (F.col("k") == 2) & (F.col("n") == 2), "a chunk needs both variants").select(F.col("chunk_id").alias("id"))
     keyed = rows.withColumn("_id", F.struct("chunk_id", "variant"))
     pairs = near_questions(keyed, grams, "_id", threshold)
-    edges = pairs.select(F.col("earlier.chunk_id").alias("a"), F.col("later.chunk_id").alias("b")).where("a <> b").distinct()
+    edges = pairs.select(F.col("earlier.chunk_id").alias("a"), F.col("later.chunk_id").alias("b")).where("a <> b")  # repeats do not matter
     return graph.greedy_survivors(chunks, edges).withColumnRenamed("id", "chunk_id")
 
 

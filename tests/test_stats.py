@@ -101,3 +101,23 @@ def test_near_questions_and_greedy(rows):
     want = {(i, j) for i in range(5) for j in range(i + 1, 5) if grams[i] and grams[j] and len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.8}
     assert {(r["earlier"], r["later"]) for r in got} == want
     assert pooling.greedy_survivors([(0, 1), (1, 2)], [0, 1, 2]) == ([0, 2], [(1, 0)])
+
+
+def test_near_questions_in_blocks_are_those_of_prefixes(rows, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quern.functions.text import char_ngrams
+
+    texts = ["".join("abcd"[(i * i // 7 + i * j + j // 3) % 4] for j in range(4 + i % 9)) for i in range(90)] + ["", "a", None, "abab", "abab"]
+    table = rows("id int, text string", list(enumerate(texts))).select(F.struct("id").alias("id"), "text")
+    grams = char_ngrams(F.col("text"), 2)
+    run = lambda: sorted(map(tuple, pooling.near_questions(table, grams, "id", 0.5).select("earlier.id", "later.id", "similarity").toDF("a", "b", "s").collect()))
+    monkeypatch.setattr(pooling, "PREFIX_PAIRS", 10**9)
+    want = run()
+    monkeypatch.setattr(pooling, "PREFIX_PAIRS", 0)
+    assert run() == want and len(want) > 100
+    for name, value in (("BLOCK_SETS", 8), ("BLOCK_GRAMS", 3), ("GROUP_SETS", 20)):
+        monkeypatch.setattr(pooling, name, value)
+    made = []
+    monkeypatch.setattr(pooling, "block_pairs", lambda *a, f=pooling.block_pairs: made.append(1) or f(*a))
+    assert run() == want and made
