@@ -151,6 +151,7 @@ def block_pairs(sets: DataFrame, count: int, threshold: float) -> DataFrame:
         return pa.table(columns, ["a", "b", "n", "c"])
 
     kind = kind.simpleString()
+    dealt = dealt.repartition(groups * (groups + 1), "i", "j")  # so that pairs of groups seldom share a task
     found = dealt.groupBy("i", "j").applyInArrow(compare, f"a {kind}, b {kind}, n int, c int")
     similarity = F.col("c") / (F.col("n") - F.col("c"))
     return found.select(F.least("a", "b").alias("earlier"), F.greatest("a", "b").alias("later"), similarity.alias("similarity"))
