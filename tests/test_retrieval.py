@@ -53,6 +53,13 @@ def test_dense_blocks_of_queries_give_the_same_run(rows, monkeypatch, include_se
     assert run() == want and len(want) == 100
 
 
+def test_dense_pairs_of_blocks_stay_apart(rows, monkeypatch):
+    v = rows("doc_id int, v array<float>", [(i, [float(i * 7 % 11 + 1), float(i * 5 % 13 - 6), float(i % 3)]) for i in range(40)])
+    q = v.where("doc_id % 2 = 0").select(F.col("doc_id").alias("query_id"), "v")
+    monkeypatch.setattr(dense, "BROADCAST_QUERIES", 2)  # ten blocks of queries
+    assert dense.block_scores(v, q, 5).select(F.spark_partition_id().alias("p")).distinct().count() >= 6
+
+
 def test_dense_ties_and_prefix(rows):
     v = rows("doc_id int, v array<float>", [(1, [1.0, 0.0, 5.0]), (2, [2.0, 0.0, 1.0]), (3, [0.0, 1.0, 0.0])])
     q = rows("query_id int, v array<float>", [(9, [1.0, 0.0, 0.0])])
