@@ -309,8 +309,9 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for a, b, na, sa, nb, sb in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "n_a", "s_a", "n_b", "s_b"))):
-                common = len(np.intersect1d(np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64), assume_unique=True))
+            lists = zip(batch.column("s_a"), batch.column("s_b"))  # read where they lie: a batch holds thousands of whole sets
+            for a, b, na, nb, (sa, sb) in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "n_a", "n_b")), lists):
+                common = len(np.intersect1d(np.frombuffer(sa.as_buffer(), np.uint64), np.frombuffer(sb.as_buffer(), np.uint64), assume_unique=True))
                 if den * common >= num * (na + nb - common):
                     rows.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
