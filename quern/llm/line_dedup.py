@@ -19,17 +19,21 @@ GRAM, SIMILARITY = 5, 0.75
 #: little in common, of which there are about as many as the corpus has lines.
 MINIMA, CLASSES, BANDS, RULER, TURN = 40, 8, 32, (0, 1, 4, 10, 15, 17), 6
 #: Band rows are dealt out in so many parts, one after the other: the disk they need is that of a part.
-PARTS = 4
+PARTS = 8
 #: Pairs that share a band are verified if so many of their MINIMA agree; at SIMILARITY 30 do on average.
 AGREE = 22
+#: Words of 64 bits in the parities of a line's shingles.
+WORDS = 16
 #: Rows of two numbers that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rounds of stars before the remaining pairs of a band are compared, in blocks of BLOCK lines.
 STAR_ROUNDS, BLOCK = 2, 1024
 
-_BYTES = 8
-_BANDS = [f"b{i}" for i in range(BANDS)]
-_SIGNS = [f"s{i}" for i in range(-(-MINIMA // _BYTES))]
+#: Bits of a minimum that signatures keep, and those of them that are compared.
+_BITS, _BYTES = 16, 8
+_KEPT = [f"p{i}" for i in range(MINIMA * _BITS // 64)]
+_SIGNS = [f"s{i}" for i in range(len(_KEPT) // 2)]
+_PARITIES = [f"w{i}" for i in range(WORDS)]
 
 
 def _mask(i: int) -> int:
@@ -63,27 +67,44 @@ def minimum(k: int) -> Column:
 
 
 def packed(k: int) -> Column:
-    """A byte of each of _BYTES minima."""
-    parts = [F.shiftleft(F.xxhash64(f"m{i}").bitwiseAND(255), i % _BYTES * 8) for i in range(k * _BYTES, min((k + 1) * _BYTES, MINIMA))]
-    return reduce(Column.bitwiseOR, parts).alias(f"s{k}")
+    """The last _BITS bits of 64 / _BITS minima."""
+    own = 64 // _BITS
+    low = lambda i: F.coalesce(F.col(f"m{i}").bitwiseAND((1 << _BITS) - 1), F.lit(0).cast("long"))
+    return reduce(Column.bitwiseOR, [F.shiftleft(low(i), i % own * _BITS) for i in range(k * own, (k + 1) * own)]).alias(f"p{k}")
+
+
+def kept(j: int) -> Column:
+    """What a signature keeps of the j-th minimum."""
+    own = 64 // _BITS
+    return F.shiftrightunsigned(f"p{j // own}", j % own * _BITS).bitwiseAND((1 << _BITS) - 1)
+
+
+def sign(k: int) -> Column:
+    """A byte of each of 8 minima."""
+    low = lambda i: F.col(f"p{i}").bitwiseAND(0xFF00FF00FF00FF)
+    return low(2 * k).bitwiseOR(F.shiftleft(low(2 * k + 1), 8)).alias(f"s{k}")
+
+
+def band(b: int) -> Column:
+    """The hash of the b-th band of a signature."""
+    return F.xxhash64(F.lit(b), *[kept((b * MINIMA // BANDS + r) % MINIMA) for r in RULER])
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(id, again, b0, ..., s0, ...) of each different line of ``lines(id, norm)``: if it occurs again, its band hashes, and a byte of each minimum.
+    """(id, again, p0, ...) of each different line of ``lines(id, norm)``: if it occurs again, and _BITS bits of each minimum.
 
     Different lines are dealt by the id that the minima are grouped by, so that these need no further exchange. A class
     without shingles has no minima, which counts as a value of its own.
     """
     hashed = shingle_rows(lines.groupBy("id").agg(F.min("norm").alias("norm"), F.count("*").alias("n")))
     own = MINIMA // CLASSES
-    classes = hashed.groupBy("id", F.pmod("h", F.lit(CLASSES)).alias("class")).agg(
+    classes = hashed.groupBy("id", F.col("h").bitwiseAND(CLASSES - 1).alias("class")).agg(
         F.max("n").alias("n"), *[minimum(k).alias(f"k{k}") for k in range(own)]
     )
     minima = classes.groupBy("id").agg(F.max("n").alias("n"), *[
         F.max(F.when(F.col("class") == j % CLASSES, F.col(f"k{j // CLASSES}"))).alias(f"m{j}") for j in range(MINIMA)
     ])
-    band = lambda b: F.xxhash64(F.lit(b), *[f"m{(b * MINIMA // BANDS + r) % MINIMA}" for r in RULER])
-    return minima.select("id", (F.col("n") > 1).alias("again"), *[band(b).alias(name) for b, name in enumerate(_BANDS)], *[packed(k) for k in range(len(_SIGNS))])
+    return minima.select("id", (F.col("n") > 1).alias("again"), *[packed(k) for k in range(len(_KEPT))])
 
 
 def agreeing(a: str, b: str, signs: list[str] = _SIGNS, minima: int = MINIMA) -> Column:
@@ -105,6 +126,29 @@ def shingles(norm: Column) -> Column:
     ))
 
 
+def parities(lines: DataFrame) -> DataFrame:
+    """(id, n, w0, ...) of different ``lines(id, norm)``: how many different shingles each has, and 64 * WORDS bits, each one
+    if an odd number of them fall on it."""
+    each = lines.select("id", F.explode(F.array_distinct(shingles(F.col("norm")))).alias("h"))
+    words = each.groupBy("id", F.col("h").bitwiseAND(WORDS - 1).alias("word")).agg(
+        F.count("*").alias("n"), F.bit_xor(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 58).cast("int"))).alias("w")
+    )
+    return words.groupBy("id").agg(
+        F.sum("n").alias("n"), *[F.max(F.when(F.col("word") == k, F.col("w"))).alias(w) for k, w in enumerate(_PARITIES)]
+    ).na.fill(0, _PARITIES)
+
+
+def may_link(a: str, b: str) -> Column:
+    """Sizes and parities that allow a link of the sides ``a`` and ``b``; true for every pair that links.
+
+    Each bit in which the parities differ takes a shingle that one line alone has, and at a similarity of s at most
+    (1 - s) / (1 + s) of the lines' shingles, counted together, are such.
+    """
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in _PARITIES])
+    return (F.least(na, nb) >= SIMILARITY * F.greatest(na, nb)) & (differ * (1 + SIMILARITY) <= (na + nb) * (1 - SIMILARITY))
+
+
 def similar(pairs: DataFrame) -> DataFrame:
     """The rows of ``pairs(a, b, t_a, t_b)`` whose texts have a Jaccard similarity of SIMILARITY or more."""
     sets = pairs.select("a", "b", F.array_distinct(shingles(F.col("t_a"))).alias("g_a"), F.array_distinct(shingles(F.col("t_b"))).alias("g_b"))
@@ -123,11 +167,11 @@ def similar_lines(stages: Stages, signed: DataFrame, lines: DataFrame) -> DataFr
     The lines of a band are compared with one of them, the one with most neighbours (near copies are nearer to their
     original than to each other). In the next rounds those left apart are compared with one of them again. At last all
     pairs of a band that lie in different components are compared, in blocks: no pair that shares a band goes unseen.
-    Compared pairs whose signatures agree are verified from their texts.
+    Compared pairs whose signatures agree and whose parities allow a link are verified from their texts.
     """
     groups = joined = None
     for part in range(PARTS):
-        keyed = signed.select("id", F.explode(F.array(*_BANDS[part::PARTS])).alias("band"))
+        keyed = signed.select("id", F.explode(F.array(*[band(b) for b in range(part, BANDS, PARTS)])).alias("band"))
         shared = stages.table(
             keyed.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("k")).where("lo < hi")
         )
@@ -137,12 +181,14 @@ def similar_lines(stages: Stages, signed: DataFrame, lines: DataFrame) -> DataFr
     members = stages.table(joined.select("band", "id").join(degree, "id"))
     twos = groups.where("k = 2")
     nodes = small(stages.table(members.select("id").union(twos.select(F.explode(F.array("lo", "hi")))).distinct()))
-    signs = stages.table(signed.select("id", *_SIGNS).join(nodes, "id", "left_semi"))
     texts = stages.table(lines.join(nodes, "id", "left_semi").groupBy("id").agg(F.min("norm").alias("norm")))
+    signs = stages.table(signed.select("id", *[sign(k) for k in range(len(_SIGNS))]).join(parities(texts), "id"))
+    # told to be without nulls, comparisons are short enough to be compiled
+    signs = signs.select("id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n", *_SIGNS, *_PARITIES)])
 
     def agreed(pairs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
         side = lambda x: signs.withColumnRenamed("id", x).alias(x)
-        near = pairs.join(side("a"), "a").join(side("b"), "b").where(agreeing("a", "b") >= AGREE).select("a", "b")
+        near = pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("a", "b") & (agreeing("a", "b") >= AGREE)).select("a", "b")
         return stages.table(near.join(seen, ["a", "b"], "left_anti") if seen is not None else near)
 
     def linked(pairs: DataFrame, label: DataFrame | None = None) -> DataFrame:
@@ -162,13 +208,12 @@ def similar_lines(stages: Stages, signed: DataFrame, lines: DataFrame) -> DataFr
         members = members.select("band", "id", "degree")
     rest = stages.table(mixed_members(members.select("band", "id", "degree"), label).select("band", "id", "component"))
     own = rest.groupBy("id").agg(F.collect_list("band").alias("own"))
-    rest = stages.table(rest.join(signs, "id").join(own, "id"))
     size = rest.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sized = rest.join(size, "band")
+    sized = rest.join(size, "band").join(stages.table(own), "id").join(signs, "id")
     left = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = sized.withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
     at = lambda c: F.col(f"x.{c}") == F.col(f"y.{c}")
-    near = (F.col("x.component") < F.col("y.component")) & (agreeing("x", "y") >= AGREE)
+    near = (F.col("x.component") < F.col("y.component")) & may_link("x", "y") & (agreeing("x", "y") >= AGREE)
     near = near & (F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.band"))  # once, however many bands they share
     cross = left.alias("x").join(right.alias("y"), at("band") & at("block") & near).select(*pair(F.col("x.id"), F.col("y.id")))
     cross = stages.table(cross.join(found, ["a", "b"], "left_anti"))
@@ -244,6 +289,7 @@ def dedup_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
     lines = docs.select(F.explode(normal_lines(F.col("text").cast("string"))).alias("norm")).where("norm <> ''").select(F.xxhash64("norm").alias("id"), "norm")
     gone = small_lists(dropped_lines(stages, rows.dropDuplicates(["_row"]) if some_twice else rows, lines))
     stages.drop(rows)
+    whole = whole.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
     joined = whole.join(gone, "_row", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     if some_twice:
         copy = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
@@ -251,14 +297,13 @@ def dedup_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
         copies = joined.join(small(twice), "_row", "left_semi").withColumn("copy", copy)
         copies = copies.withColumn("dropped", F.when(F.col("copy") == 1, F.col("dropped")).otherwise(F.coalesce(every, F.col("dropped")))).drop("copy")
         joined = joined.join(small(twice), "_row", "left_anti").unionByName(copies)
-    parts = F.split("text", "\n")
-    n_lines = F.coalesce(F.size(parts), F.lit(0)).alias("n_lines")
     if not with_text:
-        return joined.select("_doc.*", n_lines, "dropped")
+        return joined.select("_doc.*", "n_lines", "dropped")
+    parts = F.split("text", "\n")
     numbered = F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     kept = F.filter(numbered, lambda e: ~F.array_contains("dropped", e["i"]))
     text = F.when(F.size("dropped") > 0, F.array_join(F.transform(kept, lambda e: e["x"]), "\n")).otherwise(F.col("text"))
-    return joined.select("_doc.*", text.alias("text"), n_lines, "dropped")
+    return joined.select("_doc.*", text.alias("text"), "n_lines", "dropped")
 
 
 def small_lists(gone: DataFrame) -> DataFrame:

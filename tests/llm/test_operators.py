@@ -470,6 +470,44 @@ def test_line_dedup_of_pairs_among_lines_much_alike(rows):
         assert want >= 70 and 0.95 * want <= dropped[k] <= want
 
 
+def test_line_dedup_of_lines_with_one_passage(rows, monkeypatch):
+    """Lines that hold one passage are much alike and do not link: their pairs must not all be verified."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = text(60)
+    lines = [f"{text(13)} {passage}" for _ in range(160)]
+    lines += [edited(rng, x, 2) for x in lines[:20]]
+    sets = [shingle_set(x) for x in lines]
+    like = [len(x & y) / len(x | y) for i, x in enumerate(sets) for y in sets[:i]]
+    links = sum(s >= 0.75 for s in like)
+    assert links == 20 and sorted(like)[len(like) // 2] > 0.6
+    seen, similar = [], line_dedup.similar
+    monkeypatch.setattr(line_dedup, "similar", lambda pairs: seen.append(pairs.count()) or similar(pairs))
+    got = line_dedup.dedup_lines(rows("doc_id long, text string", list(enumerate(lines)))).where(F.size("dropped") > 0)
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(160, 180)) and sum(seen) < 1000
+
+
+def test_line_parities_let_all_links_through(rows):
+    import random
+
+    rng = random.Random(4)
+    lines = ["x", "xy", "ab" * 300]
+    for n in (6, 30, 200, 700, 4000):
+        for edits in (1, 1 + n // 150, 1 + n // 90, 1 + n // 60, n // 6):
+            a = "".join(rng.choice("abcdefgh ") for _ in range(n))
+            lines += [a, edited(rng, a, edits)]
+    known = line_dedup.parities(rows("id long, norm string", list(enumerate(lines)))).localCheckpoint()
+    let = {tuple(r) for r in known.alias("x").join(known.alias("y"), F.col("x.id") < F.col("y.id")).where(line_dedup.may_link("x", "y")).select("x.id", "y.id").collect()}
+    sets = [shingle_set(x) for x in lines]
+    linked = {(i, j) for j in range(len(sets)) for i in range(j) if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])}
+    assert {r["id"]: r["n"] for r in known.collect()} == {i: len(x) for i, x in enumerate(sets)}
+    assert len(linked) > 10 and linked <= let
+    assert sum(len(sets[j]) < 1000 for _, j in let) < 2 * len(linked)
+
+
 def test_line_signatures_depend_on_the_set_of_shingles(rows):
     got = line_dedup.signatures(rows("id long, norm string", [(1, "ab" * 63), (2, "ab" * 200), (2, "ab" * 200), (3, "x")])).orderBy("id").collect()
     assert [r["again"] for r in got] == [False, True, False] and got[0][2:] == got[1][2:] != got[2][2:]
