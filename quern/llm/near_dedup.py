@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Stages, components, read_table
+from .common import Stages, arrow_rows, components, read_table
 from .line_dedup import agreeing, pair
 from .ngram_join import Shingler, pack, shared, small, unpack, verify
 
@@ -29,6 +29,8 @@ OWN_SETS = 4
 #: Rounds in which a set is verified with its nearest one in another component before all remaining pairs are; sets of a key
 #: compared in one block; rows of a group whose pairs are compared together with those of other groups.
 NEAREST_ROUNDS, BLOCK, SMALL = 2, 1024, 8
+#: Rows with a whole text or whole sets that a worker gets at a time.
+WIDE_ROWS = 500
 #: Rows of two numbers that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -313,7 +315,8 @@ def set_links(stages: Stages, docs: DataFrame, sets: DataFrame) -> DataFrame:
     stages.drop(keyed)
     nodes = stages.table(members.select("id").distinct())
     signs = stages.table(sets.join(few(nodes), "id", "left_semi"))
-    full = stages.table(whole_sets(docs, nodes.withColumnRenamed("id", "set_id")))
+    with arrow_rows(stages.spark, WIDE_ROWS):
+        full = stages.table(whole_sets(docs, nodes.withColumnRenamed("id", "set_id")))
     stages.drop(nodes)
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -322,7 +325,8 @@ def set_links(stages: Stages, docs: DataFrame, sets: DataFrame) -> DataFrame:
         return met.where(may_link("a", "b")).select("a", "b", distance("a", "b").alias("d"))
 
     def linked(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
-        edges = verify(pairs, full, NUM, DEN)
+        with arrow_rows(stages.spark, WIDE_ROWS):
+            edges = stages.table(verify(pairs, full, NUM, DEN))
         known = label.select(F.col("id").alias("a"), F.col("component").alias("b")) if label is not None else None
         return components(stages, edges.union(known) if known is not None else edges)
 
@@ -362,7 +366,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     columns are not read, so their names cannot clash.
     """
     stages = Stages(docs.sparkSession, "near_dedup")
-    rows = stages.table(signed(docs))
+    with arrow_rows(stages.spark, WIDE_ROWS):
+        rows = stages.table(signed(docs))
     sets = stages.table(rows.where("s0 is not null").withColumnRenamed("set_id", "id").drop("doc_id").dropDuplicates(["id"]))
     members = rows.select("doc_id", "n", "set_id")
     label = set_links(stages, docs, sets).withColumnRenamed("id", "set_id")

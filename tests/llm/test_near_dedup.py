@@ -83,6 +83,24 @@ def test_near_dedup_against_brute_force(rows, monkeypatch, seed):
     assert found(rows, docs) == plain(docs)
 
 
+def test_wide_rows_go_to_workers_a_few_at_a_time(spark, rows, monkeypatch):
+    """Batches of whole texts and of pairs of whole sets are what an executor's memory holds most of."""
+    key, steps, table = "spark.sql.execution.arrow.maxRecordsPerBatch", [], near_dedup.Stages.table
+    before = spark.conf.get(key)
+
+    def told(self, df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        steps.append((int(spark.conf.get(key)), "MapInArrow" in plan, set(df.columns)))
+        return table(self, df)
+
+    monkeypatch.setattr(near_dedup.Stages, "table", told)
+    docs = [(i, t) for i, t in enumerate(families(3, 4))]
+    assert found(rows, docs) == plain(docs) and spark.conf.get(key) == before
+    wide = [n for n, python, columns in steps if python and columns & {"n", "shared", "a"} and "d" not in columns]
+    assert len(wide) >= 3 and max(wide) <= 500
+    assert any(n == int(before) for n, python, _ in steps if python)
+
+
 def test_near_dedup_of_nothing(rows):
     assert found(rows, []) == [] and found(rows, [(4, None)]) == [(4, 0, 4, True)]
 
