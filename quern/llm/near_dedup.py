@@ -33,6 +33,8 @@ NEAREST_ROUNDS, BLOCK, SMALL = 2, 1024, 8
 WIDE_ROWS = 500
 #: Rows of two numbers that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bits in the parity of a set: the least power of two that is twice its size or more, within these.
+PARITY_BITS = 64, 8192
 
 _SIGNS = [f"s{i}" for i in range(CELLS_ALL // 8)]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -71,6 +73,53 @@ def first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return chunk_keys(a)[np.arange(len(a)), place]
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """A bit for each remainder of a hash, one if an odd number of the set's different hashes have it."""
+    least, most = PARITY_BITS
+    bits = min(max(1 << (2 * len(hashes) - 1).bit_length(), least), most)
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Parities:
+    """The parities of some sets, those of equal length in one array."""
+
+    def __init__(self, parities: np.ndarray):
+        self.words = np.array([len(p) // 8 for p in parities])
+        self.place = np.zeros(len(parities), int)
+        self.arrays = {}
+        for w in np.unique(self.words).tolist():
+            own = np.flatnonzero(self.words == w)
+            self.place[own] = np.arange(len(own))
+            self.arrays[w] = np.frombuffer(b"".join(parities[own]), "<u8").reshape(-1, w)
+
+    def folded(self, rows: np.ndarray, words: int) -> np.ndarray:
+        """The parities of ``rows`` for as many bits as fit into ``words``: both halves of a longer one fall on the same bits."""
+        out = np.empty((len(rows), words), np.uint64)
+        for w in np.unique(self.words[rows]).tolist():
+            own = self.words[rows] == w
+            some = self.arrays[w][self.place[rows[own]]]
+            while some.shape[1] > words:
+                some = some[:, : some.shape[1] // 2] ^ some[:, some.shape[1] // 2 :]
+            out[own] = some
+        return out
+
+    def differing(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which rows ``x`` and ``y`` differ; each takes a shingle that one of the two sets alone has."""
+        least, out = np.minimum(self.words[x], self.words[y]), np.zeros(len(x), int)
+        for w in np.unique(least).tolist():
+            own = np.flatnonzero(least == w)
+            for at in range(0, len(own), 8192):
+                some = own[at : at + 8192]
+                out[some] = np.bitwise_count(self.folded(x[some], w) ^ self.folded(y[some], w)).sum(1)
+        return out
+
+
+def parities_allow(differing: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """True for every pair that links: of a pair's ``sizes``, added up, at most (DEN - NUM) / (DEN + NUM) are in one set alone."""
+    return (DEN + NUM) * differing <= (DEN - NUM) * sizes
+
+
 def distance(a: str, b: str) -> Column:
     return CELLS_ALL - agreeing(a, b, _SIGNS, CELLS_ALL)
 
@@ -174,7 +223,7 @@ def shared_keys(stages: Stages, sets: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, n, shared): all shingle hashes of the sets ``wanted(set_id)``, from one more reading of the texts."""
+    """(set_id, n, shared, parity): all shingle hashes of the sets ``wanted(set_id)``, from one more reading of the texts."""
     words = WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,13 +237,13 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 one = xxh64_intdigest(h.tobytes(), len(h))
                 if len(h) and one not in known:
                     known.add(one)
-                    rows.append((one, len(h), h.tobytes()))
+                    rows.append((one, len(h), h.tobytes(), parity(h)))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)), pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([r[2] for r in rows], pa.binary()),
-            ], ["set_id", "n", "shared"])
+                pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary()),
+            ], ["set_id", "n", "shared", "parity"])
 
-    found = docs.select(F.col("text").cast("string")).mapInArrow(run, "set_id long, n long, shared binary")
+    found = docs.select(F.col("text").cast("string")).mapInArrow(run, "set_id long, n long, shared binary, parity binary")
     return found.join(few(wanted), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
@@ -223,15 +272,16 @@ def nearest_only(found: np.ndarray) -> np.ndarray:
 
 
 def compare(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
-    """(a, b, d) of rows ``(band, i, j, block, id, component, n, s0, ...)`` sorted by band, i and j: sets of block i with those of
-    block j that lie in different components, may link by their sizes and are within LIMIT; each pair under its first key only.
+    """(a, b, d) of rows ``(band, i, j, block, id, component, n, parity, s0, ...)`` sorted by band, i and j: sets of block i with those
+    of block j that lie in different components, may link by their sizes and parities and are within LIMIT; each pair under its
+    first key only.
     ``nearest``: of each set's pairs in a group of more than SMALL rows the nearest one.
 
     The pairs of all small groups of a batch are compared at once, those of a larger group 64 sets at a time.
     """
-    names = ("band", "i", "j", "block", "id", "component", "n")
+    names = ("band", "i", "j", "block", "id", "component", "n", "parity")
 
-    def near(rows: dict, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def near(rows: dict, odd: Parities, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         small, large = np.minimum(rows["n"][p], rows["n"][q]), np.maximum(rows["n"][p], rows["n"][q])
         may = np.flatnonzero((rows["component"][p] != rows["component"][q]) & (DEN * small >= NUM * large))
         out = []
@@ -241,16 +291,18 @@ def compare(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.Rec
             x, y, d = x[d <= LIMIT], y[d <= LIMIT], d[d <= LIMIT]
             if len(x):
                 first = first_key(rows["cells"][x], rows["cells"][y]).view(np.int64) == rows["band"][x]
-                one, two = rows["id"][x[first]], rows["id"][y[first]]
-                out.append(np.stack([np.minimum(one, two), np.maximum(one, two), d[first]], 1))
+                x, y, d = x[first], y[first], d[first]
+                let = parities_allow(odd.differing(x, y), rows["n"][x] + rows["n"][y])
+                one, two = rows["id"][x[let]], rows["id"][y[let]]
+                out.append(np.stack([np.minimum(one, two), np.maximum(one, two), d[let]], 1))
         return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
     def groups(rows: dict, starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
-        sizes = ends - starts
+        sizes, odd = ends - starts, Parities(rows["parity"])
         for size in range(2, SMALL + 1):
             some = starts[sizes == size][:, None]
             x, y = np.triu_indices(size, 1)
-            yield near(rows, (some + x).ravel(), (some + y).ravel())
+            yield near(rows, odd, (some + x).ravel(), (some + y).ravel())
         for at, end in zip(starts[sizes > SMALL].tolist(), ends[sizes > SMALL].tolist()):
             i, j, block = rows["i"][at], rows["j"][at], rows["block"][at:end]
             left, right = np.flatnonzero(block == i) + at, np.flatnonzero(block == j) + at
@@ -258,7 +310,7 @@ def compare(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.Rec
             for k in range(0, len(left), 64):
                 some = left[k : k + 64]
                 x, y = np.nonzero(some[:, None] < right[None] if i == j else np.ones((len(some), len(right)), bool))
-                found.append(near(rows, some[x], right[y]))
+                found.append(near(rows, odd, some[x], right[y]))
             both = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
             yield nearest_only(both) if nearest and len(both) else both
 
@@ -296,7 +348,7 @@ def crossing(members: DataFrame, label: DataFrame, signs: DataFrame, nearest: bo
     rest = marked.join(mixed, "band").withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
-    dealt = rest.join(signs, "id").select("band", "i", "j", "block", "id", "component", "n", *_SIGNS)
+    dealt = rest.join(signs, "id").select("band", "i", "j", "block", "id", "component", "n", "parity", *_SIGNS)
     run = lambda batches: compare(batches, nearest)
     return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long, d long")
 
@@ -306,7 +358,8 @@ def set_links(stages: Stages, docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     The sets of a key have one of them as their centre, the one with most neighbours. A set is compared with two of its
     centres and verified with the nearer one. In the next rounds the sets of a key that lie in different components are compared
-    with each other, and each is verified with the nearest. At last every pair of a key whose sets lie in different components and whose signatures are within LIMIT is verified.
+    with each other, and each is verified with the nearest. At last every pair of a key is verified whose sets lie in different
+    components, whose signatures are within LIMIT and whose parities allow a link.
     """
     keyed = shared_keys(stages, sets)
     crowd = keyed.groupBy("band").agg(F.count("*").alias("k"))
@@ -314,9 +367,9 @@ def set_links(stages: Stages, docs: DataFrame, sets: DataFrame) -> DataFrame:
     members = stages.table(keyed.join(degree, "id"))
     stages.drop(keyed)
     nodes = stages.table(members.select("id").distinct())
-    signs = stages.table(sets.join(few(nodes), "id", "left_semi"))
     with arrow_rows(stages.spark, WIDE_ROWS):
         full = stages.table(whole_sets(docs, nodes.withColumnRenamed("id", "set_id")))
+    signs = stages.table(sets.join(full.select(F.col("set_id").alias("id"), "parity"), "id"))
     stages.drop(nodes)
 
     def near(pairs: DataFrame) -> DataFrame:

@@ -101,6 +101,33 @@ def test_wide_rows_go_to_workers_a_few_at_a_time(spark, rows, monkeypatch):
     assert any(n == int(before) for n, python, _ in steps if python)
 
 
+def test_pairs_that_cannot_link_are_not_verified(rows, monkeypatch):
+    """Texts with one long common passage: all their signatures are within the limit, and no two of them link."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(240)]
+    docs = [(i, " ".join(common + [f"u{rng.randrange(10**9)}" for _ in range(45 + i % 7)])) for i in range(70)]
+    other = [f"d{i}" for i in range(240)]
+    docs += [(100 + i, " ".join(other[: 60 + i] + [f"v{i}"] + other[61 + i :])) for i in range(3)]
+    handed, verify = [], near_dedup.verify
+    monkeypatch.setattr(near_dedup, "verify", lambda pairs, *more: handed.append(pairs.count()) or verify(pairs, *more))
+    assert found(rows, docs) == plain(docs)
+    assert len({c for _, _, c, _ in plain(docs)}) > 65 and sum(handed) < 4 * len(docs)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.sampled_from([1, 5, 29, 32, 60, 65, 300, 1030, 5000, 9000]), st.floats(0, 0.25))
+def test_parities_let_all_links_through(seed, size, apart):
+    rng = np.random.default_rng(seed)
+    a, b, c = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (size, int(rng.integers(0, 1 + apart * size)), int(rng.integers(0, 1 + apart * size))))
+    a, b = np.unique(np.concatenate([a, b])), np.unique(np.concatenate([a, c]))
+    alone, both = len(np.setxor1d(a, b)), len(np.intersect1d(a, b))
+    known = near_dedup.Parities(np.array([near_dedup.parity(a), near_dedup.parity(b)], object))
+    differing = known.differing(np.array([0]), np.array([1]))[0]
+    assert differing <= alone and (alone - differing) % 2 == 0
+    if 100 * both >= 80 * (len(a) + len(b) - both):
+        assert near_dedup.parities_allow(differing, len(a) + len(b))
+
+
 def test_near_dedup_of_nothing(rows):
     assert found(rows, []) == [] and found(rows, [(4, None)]) == [(4, 0, 4, True)]
 
