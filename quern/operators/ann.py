@@ -8,16 +8,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.sources.staging import Staging
 
-from .dense import dot, nearest as nearest_k
+from .dense import BLOCK_CELLS, BROADCAST_QUERIES, CANDIDATE_BLOCK, SCORES, SLACK as NEAR, SPREAD, in_order, nearest as nearest_k, summed
 from .lexical import EXACT
 
 #: Cells at most (their centroids are broadcast), training vectors per cell, and rounds of training.
 MAX_CELLS, SAMPLE_PER_CELL, ROUNDS = 4096, 256, 8
-#: Probed (query, cell) rows that are broadcast with their vectors; more are joined by a shuffle on the cell.
+#: Probed (query, cell) rows that are broadcast to the vectors of their queries; more are joined by a shuffle on the query.
 BROADCAST_PROBES = 20_000
 #: Queries on which the number of probes is chosen.
 CALIBRATION_QUERIES = 200
@@ -214,15 +216,107 @@ def scan(index: VectorIndex, cells: list[int]) -> DataFrame:
     return index.table().where(F.col("cell").isin(cells) if cells else F.lit(False))
 
 
-def scored(index: VectorIndex, queries: DataFrame, probed: DataFrame, include_self: bool) -> DataFrame:
-    """(query_id, doc_id, score) of every vector in the cells probed for a query; ``probed`` is staged."""
+def deal(index: VectorIndex, cells: list[int]) -> list[tuple[int, int, int]]:
+    """(cell, block, pieces): blocks of about equal numbers of rows, several cells each or a piece of one large cell, whose
+    pieces are the blocks from ``block`` on."""
+    total, width = int(index.rows[cells].sum()), max(1, index.centroids.shape[1])
+    most = max(256, min(CANDIDATE_BLOCK, BLOCK_CELLS // width, max(512, -(-total // 24))))
+    out, block, held = [], 0, 0
+    for cell in cells:
+        rows = int(index.rows[cell])
+        pieces = -(-rows // most) or 1
+        if held and held + rows > most:
+            block, held = block + 1, 0
+        out.append((cell, block, pieces))
+        block, held = (block + pieces, 0) if pieces > 1 else (block, held + rows)
+    return out
+
+
+def cells_topk(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, asked: dict[int, np.ndarray], d_ids: np.ndarray, d: np.ndarray,
+               held: np.ndarray, k: int, include_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of queries, places of candidates, cosines) that hold every candidate that is among a query's k best of the cells
+    it asks for, unless it is below ``least``.
+
+    ``asked`` has the places of the queries by cell; ``held``, the candidates' cells, ascends, and their ids ascend in a cell. A
+    matrix product by cell finds what lies within NEAR of a query's k-th best score so far; that alone is summed.
+    """
+    q_norm, d_norm = np.sqrt(in_order(q * q)), np.sqrt(in_order(d * d))
+    if not (np.all(q_norm) and np.all(d_norm)):
+        raise ValueError("a vector of norm 0 has no cosine")
+    q_unit, d_unit = q / q_norm[:, None], d / d_norm[:, None]
+    least, best = least.copy(), np.full((len(q), k), -np.inf)
+    parts = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    for cell, places in asked.items():
+        lo, hi = np.searchsorted(held, [cell, cell + 1])
+        step, few = max(1, SCORES // max(1, hi - lo)), min(k, hi - lo)
+        for start in range(0, len(places) if few else 0, step):
+            some = places[start : start + step]
+            scores = q_unit[some] @ d_unit[lo:hi].T
+            if not include_self:
+                first, last = (np.searchsorted(d_ids[lo:hi], q_ids[some], side) for side in ("left", "right"))
+                for at in np.flatnonzero(first < last):
+                    scores[at, first[at] : last[at]] = -np.inf
+            met = np.flatnonzero((scores >= least[some, None] - NEAR).any(1))
+            some, scores = some[met], scores[met]
+            top = np.partition(scores, hi - lo - few, axis=1)[:, hi - lo - few :]
+            best[some] = np.partition(np.concatenate([best[some], top], axis=1), few, axis=1)[:, few:]
+            least[some] = np.maximum(least[some], best[some].min(1))
+            at, to = np.nonzero((scores >= least[some, None] - NEAR) & (scores != -np.inf))
+            parts += summed(q, q_norm, d, d_norm, some[at], to + lo, k)
+    i, j, exact = (np.concatenate(c) for c in zip(*parts))
+    still = exact >= least[i] - NEAR
+    return i[still], j[still], exact[still]
+
+
+def scored(index: VectorIndex, queries: DataFrame, probed: DataFrame, k: int, include_self: bool, last: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score) that hold the k best vectors of each query in the cells probed for it; ``probed`` is staged.
+
+    ``last(query_id, score)``: scores below which a query needs no vectors. Cells are dealt into blocks of bounded size, and each
+    pair of a block of queries and one of cells is one group, to which a query goes if it probes a cell there. Groups are dealt
+    to a number of partitions that adaptive execution does not coalesce.
+    """
     cells = sorted(r["cell"] for r in probed.select("cell").distinct().collect())
-    asked = probed.join(queries.select("query_id", F.col("v").alias("qv")), "query_id").withColumn("qn", F.sqrt(dot(F.col("qv"), F.col("qv"))))
-    asked = F.broadcast(asked) if probed.count() <= BROADCAST_PROBES else asked
-    rows = scan(index, cells).select("cell", "doc_id", F.col("v").alias("dv"), F.sqrt(dot(F.col("v"), F.col("v"))).alias("dn"))
-    pairs = rows.join(asked, "cell")
-    pairs = pairs if include_self else pairs.where("doc_id <> query_id")
-    return pairs.select("query_id", "doc_id", (dot(F.col("dv"), F.col("qv")) / (F.col("dn") * F.col("qn"))).cast(EXACT).alias("score"))
+    dealt = deal(index, cells)
+    blocks = max((block + pieces for _, block, pieces in dealt), default=1)
+    gq = -(-queries.count() // BROADCAST_QUERIES) or 1
+    at = F.broadcast(index.spark.createDataFrame(dealt, "cell int, _block int, _pieces int"))
+    pieces = F.explode(F.expr("sequence(_block, _block + _pieces - 1)"))
+    listed = probed.join(at, "cell").select("query_id", "cell", pieces.alias("_block")).groupBy("query_id", "_block").agg(F.collect_set("cell").alias("cells"))
+    listed = F.broadcast(listed) if probed.count() <= BROADCAST_PROBES else listed
+    asked = queries.select("query_id", F.col("v").alias("qv"))
+    asked = asked.withColumn("least", F.lit(None).cast("double")) if last is None else asked.join(
+        last.select("query_id", F.col("score").cast("double").alias("least")), "query_id", "left"
+    )
+    asked = asked.join(listed, "query_id").withColumn("_gq", F.pmod(F.xxhash64("query_id"), F.lit(gq)).cast("int"))
+    piece = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_pieces")).cast("int")
+    rows = scan(index, cells).select("cell", "doc_id", F.col("v").alias("dv")).join(at, "cell").select(
+        "cell", "doc_id", "dv", (F.col("_block") + piece).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(gq - 1))).alias("_gq")
+    )
+    rows = rows if include_self else rows.where("doc_id is not null")
+    asked, rows = (side.repartition(SPREAD * gq * blocks, "_gq", "_block") for side in (asked, rows))
+
+    kinds = {"query_id": queries.schema["query_id"].dataType, "doc_id": rows.schema["doc_id"].dataType}
+    empty = pa.schema([*((name, to_arrow_type(kind)) for name, kind in kinds.items()), ("score", pa.float64())]).empty_table()
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return empty
+        right = right.take(pc.sort_indices(right, [("cell", "ascending"), ("doc_id", "ascending")], null_placement="at_start"))
+        lists = left["cells"].combine_chunks()
+        cell, place = lists.flatten().to_numpy(), pc.list_parent_indices(lists).to_numpy()
+        order = np.argsort(cell, kind="stable")
+        known, starts = np.unique(cell[order], return_index=True)
+        i, j, s = cells_topk(
+            left["query_id"].to_numpy(), matrix(left["qv"]), left["least"].fill_null(-np.inf).to_numpy(),
+            dict(zip(known.tolist(), np.split(place[order], starts[1:]))), right["doc_id"].to_numpy(), matrix(right["dv"]),
+            right["cell"].to_numpy(), k, include_self,
+        )
+        return pa.table([left["query_id"].take(pa.array(i)), right["doc_id"].take(pa.array(j)), pa.array(s)], ["query_id", "doc_id", "score"])
+
+    out = asked.groupBy("_gq", "_block").cogroup(rows.groupBy("_gq", "_block")).applyInArrow(
+        score, ", ".join([*(f"{name} {kind.simpleString()}" for name, kind in kinds.items()), "score double"])
+    )
+    return out.withColumn("score", F.col("score").cast(EXACT))
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int, count: int, include_self: bool = False) -> DataFrame:
@@ -232,7 +326,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int, count: int, include_s
     """
     staging, asked = Staging(index.spark, "ann-search"), usable(queries)
     probed = staging.table(probes(index, asked, count))
-    return nearest_k(scored(index, asked, probed, include_self), k)
+    return nearest_k(scored(index, asked, probed, k, include_self), k)
 
 
 def search_exact(index: VectorIndex, queries: DataFrame, k: int, count: int, include_self: bool = False) -> DataFrame:
@@ -240,11 +334,11 @@ def search_exact(index: VectorIndex, queries: DataFrame, k: int, count: int, inc
     exact scan, reading the cells that can matter."""
     staging, asked = Staging(index.spark, "ann-exact"), usable(queries)
     probed = staging.table(probes(index, asked, count))
-    near = staging.table(nearest_k(scored(index, asked, probed, include_self), k))
+    near = staging.table(nearest_k(scored(index, asked, probed, k, include_self), k))
     seen = probed.groupBy("query_id").agg(F.collect_list("cell").alias("cells"))  # a query's cells, MAX_CELLS at most
     last = near.where(F.col("rank") == k).select("query_id", "score")
     more = staging.table(farther_cells(index, asked, seen.join(last, "query_id", "left"), k))
-    both = near.select("query_id", "doc_id", "score").unionByName(scored(index, asked, more, include_self))
+    both = near.select("query_id", "doc_id", "score").unionByName(scored(index, asked, more, k, include_self, last))
     return nearest_k(both, k)
 
 

@@ -67,6 +67,32 @@ def test_exact_search_equals_the_scan(stored, monkeypatch, count, few):
     assert sorted(map(tuple, ann.search_exact(index, queries_of(table), 10, count).collect())) == exact(table, 10)
 
 
+@pytest.mark.parametrize("include_self", [False, True])
+def test_blocks_of_cells_and_queries_equal_the_scan(stored, monkeypatch, include_self):
+    for module, name, value in [(ann, "CANDIDATE_BLOCK", 1), (ann, "BROADCAST_QUERIES", 8), (ann, "SCORES", 700), (dense, "SCORES", 700)]:
+        monkeypatch.setattr(module, name, value)
+    table, index = stored
+    dealt = ann.deal(index, list(range(len(index.rows))))
+    assert max(pieces for _, _, pieces in dealt) > 1 and len({block for _, block, _ in dealt}) < len(dealt)
+    good = table.where("doc_id < 5000")
+    want = sorted(map(tuple, dense.dense_topk(good, queries_of(good), 10, include_self).collect()))
+    assert sorted(map(tuple, ann.search_exact(index, queries_of(table), 10, 3, include_self).collect())) == want
+
+
+def test_few_of_the_probed_pairs_are_handed_on(stored, monkeypatch):
+    table, index = stored
+    counts = []
+
+    def counted(scored, k, rank=ann.nearest_k):
+        counts.append(scored.count())
+        return rank(scored, k)
+
+    monkeypatch.setattr(ann, "nearest_k", counted)
+    asked = queries_of(table).where("query_id < 5000")
+    assert ann.search_exact(index, asked, 10, 3).count() == 10 * asked.count()
+    assert len(counts) == 2 and max(counts) <= 6 * 10 * asked.count()  # of 5 blocks and the first round
+
+
 def test_a_plan_without_probes_is_refused(stored):
     table, index = stored
     with pytest.raises(RuntimeError, match="all cells"):
